@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import secrets, sharding
 from .common import read
 
+SHARDS = [f"shard-{i:02d}" for i in range(32)]
+
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
@@ -15,6 +18,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, count_kind, find_secrets, named
+
+    got = find_secrets(read(spark, sf_dir, "documents"))
+    counts = [count_kind("base", k).alias(f"n_{k}") for k in BASE]
+    return got.select(F.col("id").alias("doc_id"), *counts, F.sha2(named("base"), 256).alias("base_sha256"), named("spans").alias("spans"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign_shards
+
+    return assign_shards(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+QUERIES = {"op2_secrets": op2_secrets, "op7_simhash": op7_simhash, "op10_sharding": op10_sharding}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.oracle_sql(), "op10_sharding": sharding.oracle_sql(SHARDS)}
