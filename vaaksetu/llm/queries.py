@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, sharding
+from . import mixing, secrets, sharding
 from .common import read
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -26,12 +26,30 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), *counts, F.sha2(named("base"), 256).alias("base_sha256"), named("spans").alias("spans"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mix(read(spark, sf_dir, "documents"), mixing.driver_levels(), mixing.WEIGHTS, mixing.BUDGET, mixing.MAX_EPOCHS, mixing.SEED)
+    return got.withColumnRenamed("id", "doc_id")
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_pieces
+
+    got = encode_pieces(read(spark, sf_dir, "documents").select("doc_id", "text"), verify=True)
+    return got.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.md5(F.array_join("piece_ids", ",")).alias("pieces_md5"), "decoded", "parity")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
     return assign_shards(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
-QUERIES = {"op2_secrets": op2_secrets, "op7_simhash": op7_simhash, "op10_sharding": op10_sharding}
+QUERIES = {"op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op7_simhash": op7_simhash, "op8_langid": op8_langid, "op9_pieces": op9_pieces, "op10_sharding": op10_sharding}
 
-ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.oracle_sql(), "op10_sharding": sharding.oracle_sql(SHARDS)}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.oracle_sql(), "op3_mixing": mixing.oracle_sql(), "op10_sharding": sharding.oracle_sql(SHARDS)}
