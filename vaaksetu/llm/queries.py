@@ -11,6 +11,12 @@ from .common import read
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
@@ -18,6 +24,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op1_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import embedding_components
+
+    got = embedding_components(read(spark, sf_dir, "embeddings"))
+    return got.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import BASE, count_kind, find_secrets, named
 
@@ -50,6 +63,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
-QUERIES = {"op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op7_simhash": op7_simhash, "op8_langid": op8_langid, "op9_pieces": op9_pieces, "op10_sharding": op10_sharding}
+QUERIES = {"op1_embed_dedup": op1_embed_dedup, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op6_ann": op6_ann, "op7_simhash": op7_simhash, "op8_langid": op8_langid, "op9_pieces": op9_pieces, "op10_sharding": op10_sharding}
 
 ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.oracle_sql(), "op3_mixing": mixing.oracle_sql(), "op10_sharding": sharding.oracle_sql(SHARDS)}
