@@ -11,6 +11,18 @@ from .common import read
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
@@ -63,6 +75,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
-QUERIES = {"op1_embed_dedup": op1_embed_dedup, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op6_ann": op6_ann, "op7_simhash": op7_simhash, "op8_langid": op8_langid, "op9_pieces": op9_pieces, "op10_sharding": op10_sharding}
+QUERIES = {"op1_embed_dedup": op1_embed_dedup, "op2_secrets": op2_secrets, "op3_mixing": op3_mixing, "op4_suffix_tree": op4_suffix_tree, "op5_passages": op5_passages, "op6_ann": op6_ann, "op7_simhash": op7_simhash, "op8_langid": op8_langid, "op9_pieces": op9_pieces, "op10_sharding": op10_sharding}
 
 ORACLE_SQL: dict[str, str] = {"op2_secrets": secrets.oracle_sql(), "op3_mixing": mixing.oracle_sql(), "op10_sharding": sharding.oracle_sql(SHARDS)}
