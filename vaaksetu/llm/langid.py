@@ -115,7 +115,7 @@ def out_of_place(ranks: list[str], profile: dict[str, int], top: int = TOP) -> i
 
 
 def predict(docs: DataFrame, profiles: dict[str, dict[str, int]], text_col: str = "text", top: int = TOP) -> DataFrame:
-    """docs with lang_pred and score.
+    """docs with a struct _lid of lang_pred and score.
 
     The document's `top` most frequent n-grams, ties in order of the n-gram, are compared with every profile; the
     language with the smallest out-of-place distance wins, ties going to the name first in order. score is 1 less the
@@ -158,13 +158,20 @@ def predict(docs: DataFrame, profiles: dict[str, dict[str, int]], text_col: str
                 out.append((langs[j], 1 - float(far[j]) / (top * len(first))))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("_lid", udf(F.col(text_col))).withColumn("lang_pred", F.col("_lid.lang_pred")).withColumn("score", F.col("_lid.score")).drop("_lid")
+    return docs.withColumn("_lid", udf(F.col(text_col)))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs with held_out, lang_pred and score, profiles being learned from the rows that aren't held out. Columns of docs with these names are replaced."""
     out = held_out(docs[id_col])
-    return predict(docs, train_profiles(docs.where(~out), text_col, lang_col), text_col).withColumn("held_out", out)
+    got = predict(docs, train_profiles(docs.where(~out), text_col, lang_col), text_col)
+    return got.withColumns({"held_out": held_out(got[id_col]), "lang_pred": F.col("_lid.lang_pred"), "score": F.col("_lid.score")}).drop("_lid")
+
+
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose language is known, that is not 'und'; their columns are left as they are."""
+    got = predict(docs, train_profiles(docs.where(~held_out(docs[id_col])), text_col, lang_col), text_col)
+    return got.where("_lid.lang_pred <> 'und'").select(docs.columns)
 
 
 def crc_fold(doc_id: int | None, folds: int = 3) -> int:

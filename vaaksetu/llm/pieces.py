@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters encoded at a time: bounds a task's memory whatever the texts' lengths. A longer text is a batch of its own.
 BATCH_CHARS = 1 << 19
+#: Distinct spans that a task remembers; the memory is emptied when it is full, which changes no result.
+REMEMBER = 300_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -109,6 +113,53 @@ def build(data: bytes):
     return t
 
 
+class Pieces:
+    """Encodes and decodes texts with the rebuilt tokenizer, each distinct span of white space and word once.
+
+    Where text is cut before each run of marks, no piece reaches over a cut and no byte sequence does, so a text's pieces
+    and its decoding are those of its spans in a row. New spans of a batch go through the library's threads together.
+    Other models get whole texts.
+    """
+
+    def __init__(self, data: bytes):
+        self.whole = build(data)
+        self.known: dict[str, tuple[np.ndarray, str]] = {}
+        self.spans = None
+        if self.whole.pre_tokenizer is not None:
+            from tokenizers import normalizers, pre_tokenizers
+
+            self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+            self.spans = build(data)
+            self.spans.normalizer, self.spans.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
+            self.dropped = len(self.spans.decode(self.spans.encode(f"{MARK}a", add_special_tokens=False).ids)) == 1
+
+    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """Piece ids of each text, and what they decode to."""
+        ids, back = [], []
+        for some in batches_of(texts):
+            if self.spans is None:
+                got = [e.ids for e in self.whole.encode_batch_fast(some, add_special_tokens=False)]
+                ids += [np.array(x, np.int32) for x in got]
+                back += self.whole.decode_batch(got, skip_special_tokens=False)
+                continue
+            if len(self.known) > REMEMBER:
+                self.known.clear()
+            cut = [self.cut.findall(self.whole.normalizer.normalize_str(t)) if t else [] for t in some]
+            new = list({s for spans in cut for s in spans} - self.known.keys())
+            if new:
+                got = [e.ids for e in self.spans.encode_batch_fast(new, add_special_tokens=False)]
+                # A mark before the span stands in for the first one of a text, which decoding drops.
+                lead = self.spans.token_to_id(MARK)
+                text = self.spans.decode_batch([[lead, *x] for x in got] if self.dropped else got, skip_special_tokens=False)
+                self.known |= {s: (np.array(i, np.int32), d) for s, i, d in zip(new, got, text)}
+            none = np.array([], np.int32)
+            for spans in cut:
+                found = [self.known[s] for s in spans]
+                ids.append(np.concatenate([f[0] for f in found]) if found else none)
+                back.append("".join([f[1] for f in found])[self.dropped :])
+        return ids, back
+
+
 def batches_of(texts: list[str]) -> Iterator[list[str]]:
     out, size = [], 0
     for t in texts:
@@ -135,20 +186,16 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", model: str = MODEL, v
     @F.pandas_udf(kind)
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        t = build(data)
-        same = None
+        pieces, same = Pieces(data), None
         if verify:
             import sentencepiece
 
             same = sentencepiece.SentencePieceProcessor(model_proto=data)
         for series in batches:
-            ids, back, parity = [], [], []
-            for texts in batches_of([x or "" for x in series]):
-                got = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-                ids += got
-                back += [a == b for a, b in zip(t.decode_batch(got, skip_special_tokens=False), texts)]
-                parity += [a == b for a, b in zip(same.encode(texts, num_threads=1), got)] if same else [None] * len(got)
-            yield pd.DataFrame({"piece_ids": ids, "decoded": back, "parity": parity})
+            texts = [x or "" for x in series]
+            got, back = pieces(texts)
+            parity = [same.encode(a) == b.tolist() for a, b in zip(texts, got)] if same else [None] * len(got)
+            yield pd.DataFrame({"piece_ids": got, "decoded": [a == b for a, b in zip(back, texts)], "parity": parity})
 
     out = docs.withColumn("_pieces", udf(F.col(text_col)))
     for name in ("piece_ids", "decoded", *(["parity"] if verify else [])):
