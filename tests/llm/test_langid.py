@@ -4,16 +4,28 @@ from vaaksetu.llm import langid
 from vaaksetu.llm.queries import QUERIES
 
 
+def key(gram):
+    """Characters from the highest bits down, the mark being 0."""
+    return sum((0 if c == "_" else ord(c)) << langid.BITS * (2 - i) for i, c in enumerate(gram))
+
+
 def plain_grams(text):
     c = Counter()
-    for token in text.split():
-        c.update(langid.grams_of(token))
-    return c
+    for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        w = f"_{w}_"
+        c.update(g for n in (1, 2, 3) for i in range(len(w) - n + 1) if (g := w[i : i + n]) != "_")
+    sums = Counter()
+    for g, n in c.items():
+        sums[key(g)] += n
+    return sums
 
 
-def test_grams():
-    assert sorted(langid.grams_of("Ab1")) == sorted(["a", "b", "_a", "ab", "b_", "_ab", "ab_", "_ab_"])
-    assert langid.grams_of("12-_") == []
+def test_grams(monkeypatch):
+    for chunk in (1 << 20, 3):
+        monkeypatch.setattr(langid, "_CHUNK", chunk)
+        for text in ("Ab1 b", "12-_", "ÉÀ x\U00020000y  Straße İ", "a", ""):
+            k, n = langid.count_grams(text)
+            assert dict(zip(k.tolist(), n.tolist())) == plain_grams(text) and (k[1:] > k[:-1]).all()
 
 
 def test_against_plain_profiles(spark, tmp_path):

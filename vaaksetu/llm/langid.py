@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,57 +11,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: n-grams of 1 to this many characters, within words; a word is padded with one mark on each side.
-ORDERS = 4
+#: n-grams of 1 to 3 characters, within words; a word is padded with one mark on each side. A character takes BITS bits of a key.
+ORDERS, BITS = 3, 21
 #: Ranks that a profile, of a language or of a document, has.
 TOP = 400
 #: Profiles go to every task, so the number of languages has a bound.
 MAX_LANGUAGES = 2000
-#: Distinct words whose n-grams a task remembers; the memory is emptied when it is full, which changes no result.
-_REMEMBER = 200_000
-
-
-def grams_of(word: str) -> list[str]:
-    """n-grams of one white-space token: its letters, small, other characters being breaks between words."""
-    out: list[str] = []
-    for part in "".join(c if c.isalpha() else " " for c in word.lower()).split():
-        padded = f"_{part}_"
-        out += [padded[i : i + n] for n in range(1, ORDERS + 1) for i in range(len(padded) - n + 1)]
-    return [g for g in out if g != "_"]
-
-
-class Grams:
-    """Counts n-grams of texts, with one list of numbered n-grams for each distinct token."""
-
-    def __init__(self) -> None:
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.tokens: dict[str, np.ndarray] = {}
-
-    def of(self, token: str) -> np.ndarray:
-        got = self.tokens.get(token)
-        if got is None:
-            number = self.number
-            got = np.array([number.setdefault(g, len(number)) for g in grams_of(token)], np.int64)
-            if len(token) <= 64:
-                self.tokens[token] = got
-        return got
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the text's n-grams, and how often each occurs."""
-        if len(self.tokens) > _REMEMBER or len(self.number) > 4 * _REMEMBER:
-            self.forget()
-        tokens = Counter(text.split())
-        lists = [self.of(t) for t in tokens]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        if not sizes.sum():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        weights = np.repeat(np.fromiter(tokens.values(), np.int64, len(lists)), sizes)
-        every = np.concatenate(lists)
-        which, back = np.unique(every, return_inverse=True)
-        return which, np.bincount(back, weights).astype(np.int64)
+#: Characters counted at a time, and distinct n-grams that a training task sums before it hands them on.
+_CHUNK, _FLUSH = 1 << 20, 2_000_000
+_letters: list[np.ndarray] = []
+
+
+def is_letter() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    if not _letters:
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _letters[0]
+
+
+def _sums(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and how often each occurs."""
+    if n is None:
+        keys = np.sort(keys)
+    else:
+        by = np.argsort(keys, kind="stable")
+        keys, n = keys[by], n[by]
+    if not len(keys):
+        return keys, np.array([], np.int64)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.diff(np.append(first, len(keys))) if n is None else np.add.reduceat(n, first)
+
+
+def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(key, count) of a whole text's n-grams, keys ascending: the order of the n-grams' characters, the mark first.
+
+    A key has the characters from the highest bits down; the mark is 0, as are unused places below. Letters are taken small; any other
+    character ends a word.
+    """
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where(is_letter()[c], c, 0)
+    c = np.concatenate(([0], c, [0])).astype(np.int64)
+    c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]
+    keys, n = np.array([], np.int64), np.array([], np.int64)
+    for i in range(0, len(c), _CHUNK):
+        x, y, z = c[i : i + _CHUNK], c[i + 1 : i + 1 + _CHUNK], c[i + 2 : i + 2 + _CHUNK]
+        one = x << 2 * BITS
+        two = one[: len(y)] | y << BITS
+        three = two[: len(z)] | z
+        found = np.concatenate([one[x > 0], two[(y > 0) | (x[: len(y)] > 0)], three[y[: len(z)] > 0]])
+        k, m = _sums(found)
+        keys, n = (k, m) if i == 0 else _sums(np.concatenate([keys, k]), np.concatenate([n, m]))
+    return keys, n
 
 
 def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
@@ -70,90 +69,81 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def train_profiles(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> dict[str, dict[str, int]]:
-    """language -> n-gram -> rank from 0, from all rows whose text and language aren't null.
+def train_profiles(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> dict[str, dict[int, int]]:
+    """language -> n-gram's key -> rank from 0, from all rows whose text and language aren't null.
 
-    Tasks count n-grams by language over whole texts and emit sums now and then; sums are added up by (language, n-gram)
-    and each language's most frequent `top` are kept, ties in order of the n-gram. What reaches the driver is at most `top` rows a language.
+    Tasks count n-grams by language over whole texts and hand on sums; these are added up by (language, n-gram)
+    and each language's most frequent `top` are kept, ties in order of the key. What reaches the driver is at most `top` rows a language.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, sums = Grams(), {}
+        waiting: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
 
-        def drain() -> pd.DataFrame:
-            name = {v: k for k, v in grams.number.items()}
-            out = pd.DataFrame([(lang, name[g], n) for lang, c in sums.items() for g, n in c.items()], columns=["lang", "gram", "n"])
-            sums.clear()
-            grams.forget()
-            return out
+        def settle() -> pd.DataFrame:
+            parts = []
+            for lang, found in waiting.items():
+                k, n = _sums(*map(np.concatenate, zip(*found)))
+                parts.append(pd.DataFrame({"lang": lang, "gram": k, "n": n}))
+            waiting.clear()
+            return pd.concat(parts) if parts else pd.DataFrame({"lang": np.array([], object), "gram": np.array([], np.int64), "n": np.array([], np.int64)})
 
         for pdf in batches:
             for text, lang in zip(pdf["text"], pdf["lang"]):
-                if len(grams.tokens) > _REMEMBER or len(grams.number) > 4 * _REMEMBER:
-                    yield drain()
-                which, n = grams.count(text)
-                c = sums.setdefault(lang, Counter())
-                for g, k in zip(which.tolist(), n.tolist()):
-                    c[g] += k
-        yield drain()
+                got = count_grams(text)
+                waiting.setdefault(lang, []).append(got)
+                size += len(got[0])
+                if size > _FLUSH:
+                    yield settle()
+                    size = 0
+        yield settle()
 
     known = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sums = known.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = known.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = sums.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).where(F.col("rank") < top)
     found = best.limit(top * MAX_LANGUAGES + 1).collect()
     if len(found) > top * MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    profiles: dict[str, dict[str, int]] = {}
+    profiles: dict[str, dict[int, int]] = {}
     for r in found:
         profiles.setdefault(r.lang, {})[r.gram] = r["rank"]
     return profiles
 
 
-def out_of_place(ranks: list[str], profile: dict[str, int], top: int = TOP) -> int:
+def out_of_place(ranks: list[int], profile: dict[int, int], top: int = TOP) -> int:
     """Sum over a document's ranked n-grams of how far each is from its place in the profile, `top` if it isn't there."""
     return sum(abs(profile[g] - i) if g in profile else top for i, g in enumerate(ranks))
 
 
-def predict(docs: DataFrame, profiles: dict[str, dict[str, int]], text_col: str = "text", top: int = TOP) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, dict[int, int]], text_col: str = "text", top: int = TOP) -> DataFrame:
     """docs with a struct _lid of lang_pred and score.
 
-    The document's `top` most frequent n-grams, ties in order of the n-gram, are compared with every profile; the
+    The document's `top` most frequent n-grams, ties in order of the key, are compared with every profile; the
     language with the smallest out-of-place distance wins, ties going to the name first in order. score is 1 less the
     winning distance as a share of the largest one possible. Null texts, texts without a letter, and any text where
     no language was learned, give 'und' with score 0. Only the text column is looked at.
     """
     langs = sorted(profiles)
-    place: dict[str, np.ndarray] = {}
+    known = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
+    place = np.full((len(known) + 1, len(langs)), -1, np.int64)
     for j, lang in enumerate(langs):
-        for g, r in profiles[lang].items():
-            place.setdefault(g, np.full(len(langs), -1, np.int64))[j] = r
+        place[np.searchsorted(known, list(profiles[lang])), j] = list(profiles[lang].values())
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        grams = Grams()
-        names: list[str] = []
-        table = np.full((1, max(1, len(langs))), -1, np.int64)
+        ranks = np.arange(top)[:, None]
         for texts in batches:
             out = []
             for text in texts:
-                which, n = grams.count(text) if text and langs else (np.empty(0), None)
-                if not len(which):
+                keys, n = count_grams(text) if text and langs else ((), ())
+                if not len(keys):
                     out.append(("und", 0.0))
                     continue
-                if len(names) > len(grams.number):
-                    names, table = [], table[:0]
-                if len(names) < len(grams.number):
-                    new = list(grams.number)[len(names) :]
-                    none = np.full(len(langs), -1, np.int64)
-                    table = np.concatenate([table[: len(names)], np.array([place.get(g, none) for g in new])])
-                    names = names + new
-                # Candidates for the first `top` places, then their order by count and n-gram.
-                if len(n) > top:
-                    least = np.partition(n, len(n) - top)[len(n) - top]
-                    which, n = which[n >= least], n[n >= least]
-                first = sorted(range(len(n)), key=lambda i: (-n[i], names[which[i]]))[:top]
-                where = table[which[first]]
-                far = np.where(where >= 0, np.abs(where - np.arange(len(first))[:, None]), top).sum(axis=0)
+                first = keys[np.argsort(-n, kind="stable")[:top]]
+                at = np.searchsorted(known, first)
+                at[known[np.minimum(at, len(known) - 1)] != first] = len(known)
+                where = place[at]
+                far = np.where(where >= 0, np.abs(where - ranks[: len(first)]), top).sum(axis=0)
                 j = int(far.argmin())
                 out.append((langs[j], 1 - float(far[j]) / (top * len(first))))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])

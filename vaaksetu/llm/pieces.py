@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -123,15 +126,34 @@ class Pieces:
 
     def __init__(self, data: bytes):
         self.whole = build(data)
-        self.known: dict[str, tuple[np.ndarray, str]] = {}
+        m = parse_model(data)
+        self.simple = m["dummy_prefix"] and m["escape"] and not m["trim"] and not m["charsmap"]
+        #: Piece ids of a span as bytes of int32; and the decoding of spans that don't decode to themselves.
+        self.known: dict[str, bytes] = {}
+        self.odd: dict[str, str] = {}
         self.spans = None
         if self.whole.pre_tokenizer is not None:
             from tokenizers import normalizers, pre_tokenizers
 
-            self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+            self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
             self.spans = build(data)
             self.spans.normalizer, self.spans.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
-            self.dropped = len(self.spans.decode(self.spans.encode(f"{MARK}a", add_special_tokens=False).ids)) == 1
+            self.dropped = m["dummy_prefix"]
+
+    def normalize(self, text: str) -> str:
+        if not text:
+            return ""
+        return (" " + text).replace(" ", MARK) if self.simple else self.whole.normalizer.normalize_str(text)
+
+    def _learn(self, new: list[str]) -> None:
+        got = [e.ids for e in self.spans.encode_batch_fast(new, add_special_tokens=False)]
+        # A mark before the span stands in for the first one of a text, which decoding drops.
+        lead = self.spans.token_to_id(MARK)
+        text = self.spans.decode_batch([[lead, *x] for x in got] if self.dropped else got, skip_special_tokens=False)
+        for s, ids, d in zip(new, got, text):
+            self.known[s] = array("i", ids).tobytes()
+            if d != s.replace(MARK, " "):
+                self.odd[s] = d
 
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
         """Piece ids of each text, and what they decode to."""
@@ -144,23 +166,22 @@ class Pieces:
                 continue
             if len(self.known) > REMEMBER:
                 self.known.clear()
-            cut = [self.cut.findall(self.whole.normalizer.normalize_str(t)) if t else [] for t in some]
-            new = list({s for spans in cut for s in spans} - self.known.keys())
+                self.odd.clear()
+            known, odd = self.known, self.odd
+            norm = [self.normalize(t) for t in some]
+            cut = [self.cut(t) for t in norm]
+            new = [s for s in {s for spans in cut for s in spans} if s not in known]
             if new:
-                got = [e.ids for e in self.spans.encode_batch_fast(new, add_special_tokens=False)]
-                # A mark before the span stands in for the first one of a text, which decoding drops.
-                lead = self.spans.token_to_id(MARK)
-                text = self.spans.decode_batch([[lead, *x] for x in got] if self.dropped else got, skip_special_tokens=False)
-                self.known |= {s: (np.array(i, np.int32), d) for s, i, d in zip(new, got, text)}
-            none = np.array([], np.int32)
-            for spans in cut:
-                found = [self.known[s] for s in spans]
-                ids.append(np.concatenate([f[0] for f in found]) if found else none)
-                back.append("".join([f[1] for f in found])[self.dropped :])
+                self._learn(new)
+            for text, spans in zip(norm, cut):
+                ids.append(np.frombuffer(b"".join([known[s] for s in spans]), np.int32))
+                if odd and not odd.keys().isdisjoint(spans):
+                    text = "".join([odd.get(s, s) for s in spans])
+                back.append(text.replace(MARK, " ")[self.dropped :])
         return ids, back
 
 
-def batches_of(texts: list[str]) -> Iterator[list[str]]:
+def batches_of(texts: Iterable[str]) -> Iterator[list[str]]:
     out, size = [], 0
     for t in texts:
         if out and size + len(t) > BATCH_CHARS:
@@ -174,33 +195,41 @@ def batches_of(texts: list[str]) -> Iterator[list[str]]:
 
 def encode_pieces(docs: DataFrame, text_col: str = "text", model: str = MODEL, verify: bool = False) -> DataFrame:
     """docs with piece_ids array<int> of the whole text, decoded (whether decoding them gives the text back) and,
-    if `verify`, parity (whether the sentencepiece library gives the same ids); columns with these names are replaced.
+    if `verify`, parity (whether the sentencepiece library gives the same ids for the whole text); columns with these names are replaced.
 
-    Null and empty texts have no pieces and decode to the empty text. Batches are encoded by the library's own threads.
+    Null and empty texts have no pieces and decode to the empty text. Batches are encoded by the library's own threads and
+    handed on in parts of BATCH_CHARS, so memory is bounded whatever Spark's batches hold.
     The model's bytes, a fixed-size file, are read once on the driver, at a path that is a parameter.
     """
     with open(model, "rb") as f:
         data = f.read()
-    kind = "struct<piece_ids:array<int>,decoded:boolean,parity:boolean>"
+    added = {"piece_ids": pa.list_(pa.int32()), "decoded": pa.bool_(), **({"parity": pa.bool_()} if verify else {})}
+    docs = docs.drop(*[c for c in added if c != text_col])
 
-    @F.pandas_udf(kind)
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", "4")
         pieces, same = Pieces(data), None
         if verify:
             import sentencepiece
 
             same = sentencepiece.SentencePieceProcessor(model_proto=data)
-        for series in batches:
-            texts = [x or "" for x in series]
-            got, back = pieces(texts)
-            parity = [same.encode(a) == b.tolist() for a, b in zip(texts, got)] if same else [None] * len(got)
-            yield pd.DataFrame({"piece_ids": got, "decoded": [a == b for a, b in zip(back, texts)], "parity": parity})
-
-    out = docs.withColumn("_pieces", udf(F.col(text_col)))
-    for name in ("piece_ids", "decoded", *(["parity"] if verify else [])):
-        out = out.withColumn(name, F.col(f"_pieces.{name}"))
-    return out.drop("_pieces")
+        for batch in batches:
+            at, column = 0, batch.column(batch.schema.get_field_index(text_col))
+            for texts in batches_of(t.as_py() or "" for t in column):
+                got, back = pieces(texts)
+                new = [
+                    pa.ListArray.from_arrays(np.cumsum([0, *map(len, got)]).astype(np.int32), np.concatenate(got)),
+                    pa.array([a == b for a, b in zip(back, texts)]),
+                ]
+                if same:
+                    new.append(pa.array([np.array_equal(a, b) for a, b in zip(same.encode(texts, num_threads=1), got)]))
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *added])
+
+    schema = T.StructType(docs.schema.fields + [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), *[T.StructField(c, T.BooleanType()) for c in list(added)[1:]]])
+    return docs.mapInArrow(encode, schema)
 
 
 def decode_pieces(df: DataFrame, ids_col: str = "piece_ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
