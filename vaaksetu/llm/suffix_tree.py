@@ -215,20 +215,25 @@ def train_tree(texts: DataFrame, words: DataFrame, share: float = SHARE, least:
     fit = pairs.where((F.col("n") >= floor) & (nxt > 0) & (nxt <= eligible) & (nxt != symbol.get(END, 0))).select("key").toPandas()
     longer = spark.sparkContext.broadcast(np.sort(fit["key"].to_numpy(np.int64)))
     triples = stage(tally(longer=longer), "triples")
-    roots = spark.createDataFrame([(0, total - sum(n for _, n in often)), *[(symbol[w], n) for w, n in often]], "key long, n long")
-    named = pairs.union(triples).withColumn("context", F.shiftright("key", BITS))
-    contexts = stage(named.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "contexts")
-    deep = F.col("context") >= 1 << BITS
-    up = F.when(deep, F.col("key").bitwiseAND(F.lit((1 << 2 * BITS) - 1))).otherwise(nxt)
-    own = named.join(contexts, "context").select("context", "total", "kinds", "n", up.alias("up"), F.when(deep, F.col("context").bitwiseAND(F.lit(int(_LOW)))).otherwise(0).alias("suffix"))
-    shorter = pairs.union(roots).select(F.col("key").alias("up"), F.col("n").alias("up_n"))
-    above = contexts.select(F.col("context").alias("suffix"), F.col("total").alias("up_total")).union(spark.createDataFrame([(0, max(1, total))], "suffix long, up_total long"))
-    log_ratio = F.log((F.col("n") / F.col("total")) / (F.col("up_n") / F.col("up_total")))
-    gain = own.join(shorter, "up").join(above, "suffix").groupBy("context").agg(F.sum(F.col("n") * log_ratio).alias("gain"), F.max("total").alias("total"), F.max("kinds").alias("kinds"))
-    kept = gain.where(F.col("gain") >= F.col("kinds") * F.log("total") / 2).select("context")
-    kept = stage(kept.union(kept.where(deep).select(F.col("context").bitwiseAND(F.lit(int(_LOW))))).distinct(), "kept")
+    # Symbols' own counts number 4 / SHARE at most and retained contexts DEPTH / SHARE, so both may be broadcast.
+    roots = spark.createDataFrame([(0, total - sum(n for _, n in often)), *[(symbol[w], n) for w, n in often]], "s long, s_n long")
+    of = lambda name: F.broadcast(roots.select(F.col("s").alias(name), F.col("s_n").alias(f"{name}_n")))
+    ratio = lambda up_n, up_total: F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col(up_n) / up_total))
+    sums = [F.sum("n").alias("total"), F.count("*").alias("kinds")]
+    one = pairs.select(F.shiftright("key", BITS).alias("context"), nxt.alias("next"), "n")
+    ones = stage(one.groupBy("context").agg(*sums), "contexts")
+    gain = one.join(of("context"), "context").withColumnRenamed("context_n", "total").join(of("next"), "next").groupBy("context").agg(F.sum(ratio("next_n", F.lit(max(1, total)))).alias("gain"))
+    two = triples.select(F.shiftright("key", BITS).alias("context"), F.col("key").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("up"), "n")
+    twos = stage(two.groupBy("context").agg(*sums), "contexts")
+    low = F.col("context").bitwiseAND(F.lit(int(_LOW)))
+    longest = two.join(F.broadcast(twos), "context").join(pairs.select(F.col("key").alias("up"), F.col("n").alias("up_n")), "up").withColumn("last", low).join(of("last"), "last")
+    gain = gain.unionByName(longest.groupBy("context").agg(F.sum(ratio("up_n", F.col("last_n"))).alias("gain")))
+    contexts = ones.unionByName(twos)
+    kept = contexts.join(gain, "context").where(F.col("gain") >= F.col("kinds") * F.log("total") / 2).select("context")
+    kept = F.broadcast(stage(kept.union(kept.where(F.col("context") >= 1 << BITS).select(low)).distinct(), "kept"))
     s = contexts.join(kept, "context", "left_semi").toPandas()
-    e = named.where((F.col("n") >= floor / 4) & (nxt > 0)).join(kept, "context", "left_semi").select("key", "n").toPandas()
+    named = pairs.union(triples).where((F.col("n") >= floor / 4) & (nxt > 0)).withColumn("context", F.shiftright("key", BITS))
+    e = named.join(kept, "context", "left_semi").select("key", "n").toPandas()
     ints = lambda x: x.to_numpy(np.int64)
     return Tree(symbol, ints(s["context"]), ints(s["total"]), ints(s["kinds"]), ints(e["key"]), ints(e["n"]))
 
