@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lexicon import APPROXIMATE, IDIOMS, NUMBER_WORDS, TENS, UNITS
 from .text import WS
@@ -100,7 +101,7 @@ def normalize_text(text: str | None) -> str | None:
 _PYTHON_RUN = re.compile(_run(r"\s"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_numbers_arrow(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The same in Arrow batches: a cross-check of the native form, and a choice for long texts."""
     for texts in batches:

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Unicode has it; Java's \s is ASCII only.
-WS = r"\s\x1c-\x1f\x85   -     　"
-DEVANAGARI = r"ऀ-ॿ"
+WS = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+DEVANAGARI = r"\u0900-\u097F"
 #: Characters deleted before words are aligned.
 ALIGN_DROP = r"""[।,.!?;:"'\-()\[\]]"""
 
@@ -30,7 +31,7 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(squeeze(text), " "), lambda w: w != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Canonical composition, for which Spark has no function."""
     for texts in batches:

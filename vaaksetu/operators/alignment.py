@@ -6,8 +6,9 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-OPS = "array<struct<op:string,ref_pos:int,hyp_pos:int>>"
+OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("ref_pos", T.IntegerType()), T.StructField("hyp_pos", T.IntegerType())]))
 
 
 def align_words(ref: Sequence[str], hyp: Sequence[str]) -> list[tuple[str, int | None, int | None]]:
