@@ -62,7 +62,9 @@ def fix_means(results: DataFrame) -> DataFrame:
 
 def cleanup_impact(pairs: DataFrame, steps: dict[str, Column], ref: str = "reference", pred: str = "prediction") -> DataFrame:
     """Micro WER with each way to rewrite the prediction (a Column), all in one pass: step, edits, words, wer."""
-    a = tokens(F.col(ref))
-    sums = pairs.agg(*[F.sum(word_edits(a, tokens(c))).alias(f"e{i}") for i, c in enumerate(steps.values())], F.sum(F.size(a).cast("long")).alias("words"))
+    # Steps are columns first: one that runs in Python can't stand within a higher-order function.
+    said = pairs.select(F.col(ref).alias("_ref"), *[c.alias(f"s{i}") for i, c in enumerate(steps.values())])
+    a = tokens(F.col("_ref"))
+    sums = said.agg(*[F.sum(word_edits(a, tokens(F.col(f"s{i}")))).alias(f"e{i}") for i in range(len(steps))], F.sum(F.size(a).cast("long")).alias("words"))
     rows = F.array(*[F.struct(F.lit(name).alias("step"), F.col(f"e{i}").alias("edits")) for i, name in enumerate(steps)])
     return sums.select(F.explode(rows).alias("r"), "words").select("r.*", "words", (F.col("r.edits") / F.col("words")).alias("wer"))
