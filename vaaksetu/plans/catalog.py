@@ -17,8 +17,6 @@ from ..operators import evaluation, lattice, manifest, taxonomy
 from ..operators import spelling as words_op
 from ..operators.alignment import align
 
-#: Turns are cut to this many words, which keeps their distinct words within the printable symbols that the SQL can encode.
-TURN_WORDS = 40
 #: Words classified by the queries on spelling and loans; a row takes the word that its key points at.
 WORDS = ["है", "अच्छा", "लोगवाला", "abc", "काा", "हु", "कताबें", "बजत", "।", "जॉब", "प्रोग्रामिंग", "ज़्यादा", "प्रॉब्लम", "स्टूडेंट्स", "करवाना", "interview"]
 VOCABULARY = ["है", "अच्छा", "लोग", "ज्यादा"]
@@ -54,35 +52,37 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "role", F.col("text").alias("reference")).join(nxt, ["conv_id", "turn"])
 
 
-def _first(c: str, n: int = TURN_WORDS) -> Column:
-    return F.slice(text.tokens(F.col(c)), 1, n)
+def _words(c: str) -> Column:
+    return text.tokens(F.col(c))
 
 
 SPLIT = r"list_filter(regexp_split_to_array({c}, '\s+'), lambda w: w <> '')"
+#: Word edits by the table of distances: the outer fold adds a row for each reference word, the inner one a cell for each predicted word.
 PAIRS = f"""
   pairs AS (SELECT a.conv_id, a.turn, a.role, a.text AS reference, b.text AS prediction FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-  cut AS (SELECT *, {SPLIT.format(c="reference")}[1:{TURN_WORDS}] AS r, {SPLIT.format(c="prediction")}[1:{TURN_WORDS}] AS p FROM pairs),
-  coded AS (SELECT *, list_distinct(list_concat(r, p)) AS d FROM cut),
-  edits AS (SELECT *, len(r)::BIGINT AS n, levenshtein(array_to_string(list_transform(r, lambda w: chr(32 + list_position(d, w)::INT)), ''), array_to_string(list_transform(p, lambda w: chr(32 + list_position(d, w)::INT)), '')) AS e FROM coded)"""
+  cut AS (SELECT *, {SPLIT.format(c="reference")} AS r, {SPLIT.format(c="prediction")} AS p FROM pairs),
+  coded AS (SELECT *, len(r)::BIGINT AS n, list_transform(p, lambda w: list_position(d, w)::INT) AS h, list_transform(r, lambda w: [list_position(d, w)::INT]) AS ref, list_transform(range(1, len(p) + 1), lambda j: [j::INT]) AS steps,
+    range(0, len(p) + 1)::INT[] AS first FROM (SELECT *, list_distinct(list_concat(r, p)) AS d FROM cut)),
+  edits AS (SELECT *, list_reduce(ref, lambda up, x: list_reduce(steps, lambda row, j: list_append(row, least(up[j[1]] + (x[1] <> h[j[1]])::INT, up[j[1] + 1] + 1, row[-1] + 1)), [up[1] + 1]), first)[-1] AS e FROM coded)"""
 
 
 @query(f"WITH {PAIRS} SELECT conv_id, turn, role, e::BIGINT AS edits, n AS words, round(CASE WHEN n > 0 THEN e / n WHEN len(p) = 0 THEN 0 END, 9) AS wer FROM edits WHERE n > 0 OR len(p) = 0")
 def std_wer_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turn_pairs(spark, sf_dir).select("conv_id", "turn", "role", _first("reference").alias("r"), _first("prediction").alias("p"))
+    rows = turn_pairs(spark, sf_dir).select("conv_id", "turn", "role", _words("reference").alias("r"), _words("prediction").alias("p"))
     rows = rows.where((F.size("r") > 0) | (F.size("p") == 0))
     return rows.select("conv_id", "turn", "role", wer.word_edits(F.col("r"), F.col("p")).alias("edits"), F.size("r").cast("long").alias("words"), F.round(wer.standard_wer(F.col("r"), F.col("p")), 9).alias("wer"))
 
 
 @query(f"WITH {PAIRS} SELECT role, sum(e)::BIGINT AS edits, sum(n)::BIGINT AS words, round(sum(e) / sum(n), 9) AS wer FROM edits GROUP BY role")
 def corpus_wer_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = turn_pairs(spark, sf_dir).select("role", F.array_join(_first("reference"), " ").alias("reference"), F.array_join(_first("prediction"), " ").alias("prediction"))
+    pairs = turn_pairs(spark, sf_dir).select("role", F.array_join(_words("reference"), " ").alias("reference"), F.array_join(_words("prediction"), " ").alias("prediction"))
     return evaluation.corpus_wer(pairs, "role").withColumn("wer", F.round("wer", 9))
 
 
 @query(f"WITH {PAIRS} SELECT role, round(avg(e / n), 9) AS standard_wer, round(avg(e / n), 9) AS lattice_wer, count(*) AS utterances FROM edits WHERE n > 0 GROUP BY role")
 def macro_wer_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lattice edits against bins of one word each are plain edits, so both rates agree."""
-    rows = turn_pairs(spark, sf_dir).select(F.col("role").alias("model"), _first("reference").alias("r"), _first("prediction").alias("p")).where(F.size("r") > 0)
+    rows = turn_pairs(spark, sf_dir).select(F.col("role").alias("model"), _words("reference").alias("r"), _words("prediction").alias("p")).where(F.size("r") > 0)
     bins = F.transform("r", lambda w: F.array(w))
     scores = rows.select("model", wer.standard_wer(F.col("r"), F.col("p")).alias("standard_wer"), wer.lattice_wer(bins, F.col("p")).alias("lattice_wer"))
     out = lattice.summarize_models(scores)
@@ -92,18 +92,18 @@ def macro_wer_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PAIRS} SELECT conv_id, turn, e::BIGINT AS edits FROM edits WHERE len(p) > 0 OR n > 0")
 def alignment_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of the alignment that aren't matches: as many as there are edits."""
-    rows = turn_pairs(spark, sf_dir).select("conv_id", "turn", align(_first("reference"), _first("prediction")).alias("ops")).where(F.size("ops") > 0)
+    rows = turn_pairs(spark, sf_dir).select("conv_id", "turn", align(_words("reference"), _words("prediction")).alias("ops")).where(F.size("ops") > 0)
     return rows.select("conv_id", "turn", F.size(F.filter("ops", lambda o: o.op != "M")).cast("long").alias("edits"))
 
 
 @query(f"""
-WITH t AS (SELECT conv_id, turn, {SPLIT.format(c="text")}[1:10] AS w FROM conversations),
+WITH t AS (SELECT conv_id, turn, {SPLIT.format(c="text")} AS w FROM conversations),
 u AS (SELECT conv_id, turn, i, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t)),
 m AS (SELECT conv_id, count(*) AS models FROM t WHERE len(w) > 0 GROUP BY conv_id)
 SELECT conv_id, i::INT - 1 AS pos, word, count(*) AS votes FROM u JOIN m USING (conv_id) GROUP BY conv_id, i, word, models HAVING count(*) >= greatest(1, ceil(models * 0.5))""")
 def consensus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation vote on its words, place by place."""
-    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("segment"), F.col("turn").alias("model"), _first("text", 10).alias("hyp")).where(F.size("hyp") > 0)
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("segment"), F.col("turn").alias("model"), _words("text").alias("hyp")).where(F.size("hyp") > 0)
     same = F.transform("hyp", lambda w, i: F.struct(F.lit("M").alias("op"), i.cast("int").alias("ref_pos"), i.cast("int").alias("hyp_pos")))
     return lattice.consensus_votes(rows.withColumn("ops", same)).withColumnRenamed("segment", "conv_id")
 
