@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from .text import strip_ws, tokens
 _FIRST = 0x10000
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row: what stands within a lambda is otherwise computed anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _as_text(words: Column, known: Column) -> Column:
     """Each word as one character: its place among the distinct words of the pair."""
     codes = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + _FIRST - 1), 8, "0"))
@@ -22,8 +29,8 @@ def word_edits(ref: Column, hyp: Column) -> Column:
 
     Words become single characters, so that the built-in levenshtein counts words. Takes time in proportion to the product of both lengths.
     """
-    known = F.array_distinct(F.concat(ref, hyp))
-    return F.levenshtein(_as_text(ref, known), _as_text(hyp, known)).cast("long")
+    both = F.struct(ref.alias("r"), hyp.alias("h"), F.array_distinct(F.concat(ref, hyp)).alias("known"))
+    return _bind(both, lambda x: F.levenshtein(_as_text(x.r, x.known), _as_text(x.h, x.known)).cast("long"))
 
 
 def _rate(edits: Column, n_ref: Column, n_hyp: Column) -> Column:
@@ -45,6 +52,10 @@ def lattice_edits(bins: Column, hyp: Column) -> Column:
 
     One row of the table is kept: a fold over the bins whose step is a fold over the hypothesis.
     """
+    return _bind(hyp, lambda h: _fold_bins(bins, h))
+
+
+def _fold_bins(bins: Column, hyp: Column) -> Column:
     n = F.size(hyp)
     first = F.when(n > 0, F.concat(F.array(F.lit(0)), F.transform(hyp, lambda w, i: (i + 1).cast("int")))).otherwise(F.array(F.lit(0)))
 
