@@ -7,6 +7,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,10 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters encoded at a time: bounds a task's memory whatever the texts' lengths. A longer text is a batch of its own.
 BATCH_CHARS = 1 << 19
-#: Distinct spans that a task remembers; the memory is emptied when it is full, which changes no result.
-REMEMBER = 300_000
+#: Distinct spans that a worker remembers; the memory is emptied when it is full, which changes no result.
+REMEMBER = 600_000
+#: New spans that are encoded in a row.
+JOIN = 2000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -120,7 +123,8 @@ class Pieces:
     """Encodes and decodes texts with the rebuilt tokenizer, each distinct span of white space and word once.
 
     Where text is cut before each run of marks, no piece reaches over a cut and no byte sequence does, so a text's pieces
-    and its decoding are those of its spans in a row. New spans of a batch go through the library's threads together.
+    and its decoding are those of its spans in a row. New spans of a batch go through the library's threads together, those with
+    one mark in rows of JOIN: in such a row just the first piece of a span begins with a mark, which tells where its pieces end.
     Other models get whole texts.
     """
 
@@ -138,7 +142,10 @@ class Pieces:
             self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
             self.spans = build(data)
             self.spans.normalizer, self.spans.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
+            self.rows = build(data)
+            self.rows.normalizer = normalizers.Sequence([])
             self.dropped = m["dummy_prefix"]
+            self.marked = np.array([piece.startswith(MARK) for piece, _, _ in m["pieces"]])
 
     def normalize(self, text: str) -> str:
         if not text:
@@ -146,14 +153,30 @@ class Pieces:
         return (" " + text).replace(" ", MARK) if self.simple else self.whole.normalizer.normalize_str(text)
 
     def _learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.spans.encode_batch_fast(new, add_special_tokens=False)]
-        # A mark before the span stands in for the first one of a text, which decoding drops.
-        lead = self.spans.token_to_id(MARK)
-        text = self.spans.decode_batch([[lead, *x] for x in got] if self.dropped else got, skip_special_tokens=False)
-        for s, ids, d in zip(new, got, text):
+        plain = [s for s in new if s[0] == MARK and s[1:2] not in ("", MARK)]
+        single = [s for s in new if s[0] != MARK or s[1:2] in ("", MARK)]
+        groups = [plain[i : i + JOIN] for i in range(0, len(plain), JOIN)]
+        rows = ["".join(g) for g in groups]
+        got = [e.ids for e in self.rows.encode_batch_fast(rows, add_special_tokens=False)]
+        for group, row, ids, text in zip(groups, rows, got, self._decode(got)):
+            ids = np.array(ids, np.int32)
+            starts = np.flatnonzero(self.marked[ids])
+            # A decoded span has a space at its beginning alone, so rows that agree agree in each span.
+            if len(starts) != len(group) or text != row.replace(MARK, " "):
+                single += group
+                continue
+            data, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            self.known.update((s, data[i:j]) for s, i, j in zip(group, at, at[1:]))
+        got = [e.ids for e in self.spans.encode_batch_fast(single, add_special_tokens=False)]
+        for s, ids, text in zip(single, got, self._decode(got)):
             self.known[s] = array("i", ids).tobytes()
-            if d != s.replace(MARK, " "):
-                self.odd[s] = d
+            if text != s.replace(MARK, " "):
+                self.odd[s] = text
+
+    def _decode(self, ids: list[list[int]]) -> list[str]:
+        # A mark before the ids stands in for the first one of a text, which decoding drops.
+        lead = self.spans.token_to_id(MARK)
+        return self.spans.decode_batch([[lead, *x] for x in ids] if self.dropped else ids, skip_special_tokens=False)
 
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
         """Piece ids of each text, and what they decode to."""
@@ -181,6 +204,12 @@ class Pieces:
         return ids, back
 
 
+@lru_cache(maxsize=1)
+def loaded(data: bytes) -> Pieces:
+    """Pieces of a model, once in a worker: its later tasks find the model built and spans known."""
+    return Pieces(data)
+
+
 def batches_of(texts: Iterable[str]) -> Iterator[list[str]]:
     out, size = [], 0
     for t in texts:
@@ -209,7 +238,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", model: str = MODEL, v
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", "4")
-        pieces, same = Pieces(data), None
+        pieces, same = loaded(data), None
         if verify:
             import sentencepiece
 
