@@ -27,6 +27,20 @@ def test_documents(spark):
     assert out.where(~F.col("parity") | ~F.col("decoded")).count() == 0
 
 
+def test_rows_of_spans_and_a_small_memory(monkeypatch):
+    """Spans learned in short rows, by a worker that forgets often, give the pieces of whole texts."""
+    monkeypatch.setattr(pieces, "JOIN", 3)
+    monkeypatch.setattr(pieces, "REMEMBER", 5)
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 40)
+    with open(pieces.MODEL, "rb") as f:
+        data = f.read()
+    same = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = HARD + [f"w{i} ▁v{i * 7}  é{i}\t🙂{i} " for i in range(200)]
+    ids, back = pieces.Pieces(data)(texts)
+    assert [x.tolist() for x in ids] == [same.encode(t) for t in texts]
+    assert back == [same.decode(x.tolist()) for x in ids]
+
+
 def field(n, wire, data):
     if wire == 2:
         return bytes([n << 3 | 2]) + bytes([len(data)]) + data

@@ -193,11 +193,11 @@ class Pieces:
             known, odd = self.known, self.odd
             norm = [self.normalize(t) for t in some]
             cut = [self.cut(t) for t in norm]
-            new = [s for s in {s for spans in cut for s in spans} if s not in known]
+            new = [s for s in set().union(*cut) if s not in known]
             if new:
                 self._learn(new)
             for text, spans in zip(norm, cut):
-                ids.append(np.frombuffer(b"".join([known[s] for s in spans]), np.int32))
+                ids.append(np.frombuffer(b"".join(map(known.__getitem__, spans)), np.int32))
                 if odd and not odd.keys().isdisjoint(spans):
                     text = "".join([odd.get(s, s) for s in spans])
                 back.append(text.replace(MARK, " ")[self.dropped :])
@@ -252,7 +252,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", model: str = MODEL, v
                     pa.array([a == b for a, b in zip(back, texts)]),
                 ]
                 if same:
-                    new.append(pa.array([np.array_equal(a, b) for a, b in zip(same.encode(texts, num_threads=1), got)]))
+                    new.append(pa.array([array("i", a).tobytes() == b.tobytes() for a, b in zip(same.encode(texts, num_threads=1), got)]))
                 part = batch.slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *added])
