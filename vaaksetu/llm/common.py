@@ -17,10 +17,15 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BATCH_BYTES = 4 << 20
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Sets the session's bound on Arrow batches where it has none of its own."""
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's bound on Arrow batches where it has none of its own."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, read with bounded batches."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
