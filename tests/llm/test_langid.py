@@ -64,3 +64,15 @@ def test_held_out_accuracy(spark):
     out = QUERIES["op8_langid"](spark, folder).join(docs, "doc_id").where("held_out").collect()
     assert len(out) > 250 and sum(r.lang == r.lang_pred for r in out) > 0.97 * len(out)
     assert all(0 <= r.score <= 1 for r in out)
+
+
+def test_kept_rows_have_the_predicted_language(spark):
+    src = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect()
+    wrong, none = [next(r for r in src if r.lang == k and langid.crc_fold(r.doc_id) != 1) for k in ("fr", "en")]
+    rows = [(r.doc_id, r.text, "en" if r is wrong else None if r is none else r.lang, 1) for r in src] + [(9002, "123 !!", "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n int")
+    got = langid.keep_known(docs)
+    assert got.columns == docs.columns
+    lang = {r.doc_id: r.lang for r in got.collect()}
+    assert lang == {r.doc_id: r.lang_pred for r in langid.identify(docs).collect() if r.lang_pred != "und"}
+    assert lang[wrong.doc_id] == "fr" and lang[none.doc_id] == "en" and 9002 not in lang

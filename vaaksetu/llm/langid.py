@@ -159,9 +159,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose language is known, that is not 'und'; their columns are left as they are."""
+    """The rows of docs whose language is known, that is not 'und', with the predicted language for their own label; other columns are left as they are."""
     got = predict(docs, train_profiles(docs.where(~held_out(docs[id_col])), text_col, lang_col), text_col)
-    return got.where("_lid.lang_pred <> 'und'").select(docs.columns)
+    return got.where("_lid.lang_pred <> 'und'").select(*[F.col("_lid.lang_pred").alias(c) if c == lang_col else F.col(c) for c in docs.columns])
 
 
 def crc_fold(doc_id: int | None, folds: int = 3) -> int:
