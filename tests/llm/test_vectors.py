@@ -131,3 +131,21 @@ def test_recall_on_driver_vectors(spark):
         hits, total = hits + len(set(best.tolist()) & got[int(ids[i])]), total + 10
     assert hits >= 0.9 * total
     print("recall", hits / total)
+
+
+def test_wide_vectors_displaced_towards_another_centroid(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 120)
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.normal(size=(8, 384)))
+    rows = [unit(centre[i % 8] + unit(rng.normal(size=384)) * 2.5) for i in range(800)]
+    for i in range(8):
+        for j in range(i):
+            # Either side of the border, at a cosine of 0.955.
+            mid, way = unit(centre[i] + centre[j] + 0.2 * unit(rng.normal(size=384))), unit(centre[i] - centre[j])
+            rows += [unit(mid + 0.15 * way), unit(mid - 0.15 * way)]
+    x = np.array(rows, np.float32)
+    ids = np.arange(1, len(x) + 1)
+    got = {r.id: (r.n_links, r.component) for r in embed_dedup.embedding_components(table(spark, list(zip(ids.tolist(), x.tolist())))).collect()}
+    want = brute(ids, x)
+    assert sum(n for n, _ in want.values()) >= 50 and got == want

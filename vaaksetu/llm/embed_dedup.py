@@ -17,7 +17,7 @@ from .vectors import matrix, unit, valid
 CELL_ROWS, MAX_CELLS = 256, 4096
 #: Vectors on which centroids are fitted: those with the smallest hashes of their ids.
 SAMPLE = 20_000
-#: Standard deviations of a near-duplicate's random displacement that a cell reaches over its border.
+#: Standard deviations of a near-duplicate's random displacement that a cell reaches over its border, and never less than what makes cells exact.
 REACH = 4.0
 #: Rows of a block on either side of a product.
 HOME_BLOCK, MEMBER_BLOCK = 4096, 8192
@@ -40,7 +40,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     return c
 
 
-def _fit(rows: DataFrame, n: int, dim: int) -> tuple[np.ndarray, float]:
+def _fit(rows: DataFrame, n: int, dim: int, threshold: float) -> tuple[np.ndarray, float]:
     """Centroids, and the share of the distance to a border over which a vector is also shown to the cell beyond it."""
     k = int(min(MAX_CELLS, SAMPLE // 4, max(1, -(-n // CELL_ROWS))))
     sample = rows.where(F.size("vec") == dim).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()
@@ -48,7 +48,8 @@ def _fit(rows: DataFrame, n: int, dim: int) -> tuple[np.ndarray, float]:
     # Displacements spread over as many dimensions as the data really use.
     spread = np.linalg.eigvalsh(np.cov(x, rowvar=False)) if len(x) > 2 and dim > 1 else np.ones(1)
     used = max(1.0, float(spread.sum() ** 2 / max((spread**2).sum(), 1e-12)))
-    return spherical_kmeans(x, min(k, len(x))), min(1.0, REACH / used**0.5)
+    # Two vectors on either side of a border are together at most |u - v| from it, so at 1 / sqrt(2 + 2 * threshold) one of them is always shown to the other's cell.
+    return spherical_kmeans(x, min(k, len(x))), min(1.0, max(REACH / used**0.5, 1 / (1 + threshold)))
 
 
 def _links(own: np.ndarray, own_ids: np.ndarray, bits: np.ndarray, all_: np.ndarray, all_ids: np.ndarray, all_home: np.ndarray, cell: int, own_mult: np.ndarray, all_mult: np.ndarray, threshold: float) -> pd.DataFrame:
@@ -92,9 +93,8 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """(id, n_links, component, kept) for each row of df.
 
     Vectors with equal components are one row with a count from the start, so any number of copies costs one row.
-    Distinct vectors get a home cell, the nearest centroid, and are members of each cell whose border is so near that a
-    vector at the threshold's angle, displaced at random, could lie beyond it with a chance of more than some 1 in 30,000; where the
-    data use few dimensions, of each cell where it could lie at all. Vectors at home in a cell are multiplied with the cell's members, block by block in
+    Distinct vectors get a home cell, the nearest centroid, and are members of each cell whose border is so near that of
+    two vectors at the threshold's angle on either side one at least is shown to the other's cell, so no pair is lost. Vectors at home in a cell are multiplied with the cell's members, block by block in
     double precision. A block gives link counts and a spanning forest, never its pairs; a large cell is several blocks a side.
     Vectors of another length than most link only among themselves. Rows that take no part (see vectors.valid), null ids
     included, have no links and are kept, each its own component. Rows with one id are one node.
@@ -103,7 +103,7 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vec_col: str = "
     reps = stage(fine.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("mult")), "vectors")
     dims = reps.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim, n = (dims[0].dim, dims[0]["count"]) if dims else (0, 0)
-    centroids, reach = _fit(reps, n, dim) if n else (np.zeros((0, 0)), 1.0)
+    centroids, reach = _fit(reps, n, dim, threshold) if n else (np.zeros((0, 0)), 1.0)
     k = len(centroids)
     apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T)) if k else centroids
     far = np.sqrt(1 - threshold**2) * reach * apart
