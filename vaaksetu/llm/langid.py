@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import bound_batches
+
 #: n-grams of 1 to 3 characters, within words; a word is padded with one mark on each side. A character takes BITS bits of a key.
 ORDERS, BITS = 3, 21
 #: Ranks that a profile, of a language or of a document, has.
@@ -98,6 +100,7 @@ def train_profiles(rows: DataFrame, text_col: str = "text", lang_col: str = "lan
                     size = 0
         yield settle()
 
+    bound_batches(rows.sparkSession)
     known = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sums = known.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = sums.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).where(F.col("rank") < top)
@@ -123,6 +126,7 @@ def predict(docs: DataFrame, profiles: dict[str, dict[int, int]], text_col: str
     winning distance as a share of the largest one possible. Null texts, texts without a letter, and any text where
     no language was learned, give 'und' with score 0. Only the text column is looked at.
     """
+    bound_batches(docs.sparkSession)
     langs = sorted(profiles)
     known = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
     place = np.full((len(known) + 1, len(langs)), -1, np.int64)
