@@ -152,7 +152,8 @@ def predict(docs: DataFrame, profiles: dict[str, dict[int, int]], text_col: str
                 out.append((langs[j], 1 - float(far[j]) / (top * len(first))))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("_lid", udf(F.col(text_col)))
+    # Not deterministic in the optimizer's eyes, so that a filter on the result doesn't compute it a second time.
+    return docs.withColumn("_lid", udf.asNondeterministic()(F.col(text_col)))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -24,7 +24,7 @@ UNIGRAM, BPE = 1, 2
 #: Characters encoded at a time: bounds a task's memory whatever the texts' lengths. A longer text is a batch of its own.
 BATCH_CHARS = 1 << 19
 #: Distinct spans that a worker remembers; the memory is emptied when it is full, which changes no result.
-REMEMBER = 600_000
+REMEMBER = 250_000
 #: New spans that are encoded in a row.
 JOIN = 2000
 
