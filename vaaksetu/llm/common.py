@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,28 +31,57 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset and executors are threads of the driver (local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='vaaksetu-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Makes Spark delete the shuffle files of a query as it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later plans start from files that outlive any executor."""
+    """Writes df to the shared folder and reads it back: later plans start from files that outlive any executor.
+
+    What the write shuffled isn't needed any more once the files are there, and goes at once. The table itself goes when the driver
+    ends, or before that by unstage().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vaaksetu/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    _files(spark, path, lambda fs, at: fs.deleteOnExit(at))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unstage(df: DataFrame) -> None:
-    """Deletes a table that stage() wrote once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def unstage(*tables: DataFrame) -> None:
+    """Deletes tables that stage() wrote once nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _files(df.sparkSession, folder, lambda fs, at: fs.delete(at, True))
+
+
+def _files(spark: SparkSession, folder: str, do: Callable) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    do(path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path)
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, whatever the case of letters: `name`, longer by underscores where it is taken."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def words_of(text: str | None) -> list[bytes]:
