@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bound_batches
+from .common import bound_batches, fresh
 
 #: n-grams of 1 to 3 characters, within words; a word is padded with one mark on each side. A character takes BITS bits of a key.
 ORDERS, BITS = 3, 21
@@ -118,8 +118,8 @@ def out_of_place(ranks: list[int], profile: dict[int, int], top: int = TOP) -> i
     return sum(abs(profile[g] - i) if g in profile else top for i, g in enumerate(ranks))
 
 
-def predict(docs: DataFrame, profiles: dict[str, dict[int, int]], text_col: str = "text", top: int = TOP) -> DataFrame:
-    """docs with a struct _lid of lang_pred and score.
+def predict(docs: DataFrame, profiles: dict[str, dict[int, int]], text_col: str = "text", top: int = TOP, into: str = "_lid") -> DataFrame:
+    """docs with a struct `into` of lang_pred and score.
 
     The document's `top` most frequent n-grams, ties in order of the key, are compared with every profile; the
     language with the smallest out-of-place distance wins, ties going to the name first in order. score is 1 less the
@@ -153,20 +153,29 @@ def predict(docs: DataFrame, profiles: dict[str, dict[int, int]], text_col: str
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     # Not deterministic in the optimizer's eyes, so that a filter on the result doesn't compute it a second time.
-    return docs.withColumn("_lid", udf.asNondeterministic()(F.col(text_col)))
+    return docs.withColumn(into, udf.asNondeterministic()(F.col(text_col)))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with held_out, lang_pred and score, profiles being learned from the rows that aren't held out. Columns of docs with these names are replaced."""
-    out = held_out(docs[id_col])
-    got = predict(docs, train_profiles(docs.where(~out), text_col, lang_col), text_col)
-    return got.withColumns({"held_out": held_out(got[id_col]), "lang_pred": F.col("_lid.lang_pred"), "score": F.col("_lid.score")}).drop("_lid")
+    """docs with held_out, lang_pred and score, profiles being learned from the rows that aren't held out. Columns of docs with these names are replaced.
+
+    Null ids count as empty text when rows are held out; rows without a text or a language teach nothing; repeated rows count each
+    time. Null and empty texts, and all texts where nothing was learned, are 'und'. An empty table gives an empty one.
+    """
+    out, lid = held_out(docs[id_col]), fresh("_lid", docs)
+    got = predict(docs, train_profiles(docs.where(~out), text_col, lang_col), text_col, into=lid)
+    return got.withColumns({"held_out": held_out(got[id_col]), "lang_pred": F.col(f"{lid}.lang_pred"), "score": F.col(f"{lid}.score")}).drop(lid)
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose language is known, that is not 'und', with the predicted language for their own label; other columns are left as they are."""
-    got = predict(docs, train_profiles(docs.where(~held_out(docs[id_col])), text_col, lang_col), text_col)
-    return got.where("_lid.lang_pred <> 'und'").select(*[F.col("_lid.lang_pred").alias(c) if c == lang_col else F.col(c) for c in docs.columns])
+    """The rows of docs whose language is known, that is not 'und', with the predicted language for their own label; other columns are left as they are.
+
+    Null and empty texts and texts without a letter go. Rows that repeat, null ids included, are kept as often as they occur; an
+    empty table, or one where nothing can be learned, gives an empty one.
+    """
+    lid = fresh("_lid", docs)
+    got = predict(docs, train_profiles(docs.where(~held_out(docs[id_col])), text_col, lang_col), text_col, into=lid)
+    return got.where(F.col(f"{lid}.lang_pred") != "und").select(*[F.col(f"{lid}.lang_pred").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def crc_fold(doc_id: int | None, folds: int = 3) -> int:

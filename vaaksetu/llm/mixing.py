@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, stage
+from .common import WORD, fresh, stage
 
 #: Rows that a bucket of a leaf's order has on average at most; a hex digit of the order's key divides them by 16.
 BUCKET_ROWS = 4096
@@ -76,8 +76,11 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, int], bud
     the running sums of those buckets show in which one the prefix ends, and only that bucket's rows, some thousands
     at any size of the leaf, are put in order. Rows that agree in id and tokens are interchangeable. Null texts use nothing.
     """
-    names = list(levels)
-    rows = stage(sized(docs, id_col, text_col, levels), "sized")
+    if {"id", "n_tokens", "full_epochs", "prefix_tokens", "used_tokens"} & set(levels):
+        raise ValueError("a level has the name of a column of the result")
+    # Levels have names of their own within, so that a caller's names can't clash with what is computed here.
+    names = [f"_level{i}" for i in range(len(levels))]
+    rows = stage(sized(docs, id_col, text_col, dict(zip(names, levels.values()))), "sized")
     leaves = stage(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "leaves")
     plan = budgets(leaves, names, weights, budget, max_epochs)
     plan = plan.withColumn("full", F.when(F.col("tokens") > 0, F.expr("allocated div tokens")).otherwise(0)).withColumn("rest", F.col("allocated") - F.col("full") * F.col("tokens"))
@@ -94,17 +97,18 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, int], bud
     order = W.partitionBy(*names).orderBy("_key", "id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
     upto = F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens")
     edge = keyed.where("_bucket = _last").withColumn("prefix_tokens", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - upto)))
-    out = ["id", *names, "n_tokens", F.col("full").cast("long").alias("full_epochs"), F.col("prefix_tokens").cast("long").alias("prefix_tokens"), (F.col("full") * F.col("n_tokens") + F.col("prefix_tokens")).cast("long").alias("used_tokens")]
+    out = ["id", *[F.col(n).alias(level) for n, level in zip(names, levels)], "n_tokens", F.col("full").cast("long").alias("full_epochs"), F.col("prefix_tokens").cast("long").alias("prefix_tokens"), (F.col("full") * F.col("n_tokens") + F.col("prefix_tokens")).cast("long").alias("used_tokens")]
     return whole.select(*out).unionByName(edge.select(*out))
 
 
 def mix_documents(docs: DataFrame, levels: dict[str, Column], weights: dict[str, int], budget: tuple[int, int], seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of docs that a mixture of one epoch at most uses, with the columns of docs; each leaf's prefix is rounded up to whole documents.
 
-    Documents are matched by id: rows that share an id are kept if one of them is used, and a null id stands for one id. Documents without tokens are kept, as they cost nothing.
+    Documents are matched by id: rows that share an id are kept if one of them is used, and a null id stands for one id. Documents without tokens, null and empty texts among them, are kept, as they cost nothing; an empty table gives an empty one.
     """
-    used = mix(docs, levels, weights, budget, 1, seed, id_col, text_col).where("used_tokens > 0 or n_tokens = 0").select(F.col("id").alias("_used")).distinct()
-    return docs.join(used, F.col(id_col).eqNullSafe(F.col("_used")), "left_semi")
+    name = fresh("_used", docs)
+    used = mix(docs, levels, weights, budget, 1, seed, id_col, text_col).where("used_tokens > 0 or n_tokens = 0").select(F.col("id").alias(name)).distinct()
+    return docs.join(used, docs[id_col].eqNullSafe(F.col(name)), "left_semi")
 
 
 #: Domains of the driver's sources: the number in a source's name, modulo 3.

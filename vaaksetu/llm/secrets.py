@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh, stage
 
 #: Kinds of span in the order in which spans at one place are listed: the three base kinds, then the weak ones.
 #: A kind: its pattern, the group whose length counts (0: the whole match), the least length.
@@ -110,28 +110,30 @@ def count_kind(spans: str | Column, kind: str) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", mask: str = "[SECRET]") -> DataFrame:
     """docs with each secret and identifier masked (endpoints stay), all columns and rows kept; size_col, if there, follows the new text.
 
-    Texts that match no pattern, nearly all, pass through as they are; only the others are joined with their spans.
+    Texts that match no pattern, nearly all, pass through as they are; only the others are joined with their spans. Null and empty
+    texts stay as they are, null ids and repeated rows are kept, each with its own text masked; an empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     some = F.lit(False)
     for k in KINDS:
         if PART[k] != "endpoint":
             some = some | F.rlike(text, F.lit(KINDS[k][0]))
-    found = find_secrets(docs.where(some), id_col, text_col).select("key", F.filter("spans", lambda s: s.k != ORDER["endpoint"]).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["key"])
+    at, other, spans = (fresh(n, docs) for n in ("_key", "_found", "_spans"))
+    found = find_secrets(docs.where(some), id_col, text_col).select(F.col("key").alias(other), F.filter("spans", lambda s: s.k != ORDER["endpoint"]).alias(spans)).where(F.size(spans) > 0).dropDuplicates([other])
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), text))
-    hit = docs.where(some).withColumn("_key", key).join(found.withColumnRenamed("key", "_found"), F.col("_key") == F.col("_found"), "left")
+    hit = docs.where(some).withColumn(at, key).join(found, F.col(at) == F.col(other), "left")
     body = F.col(text_col)
     masked = F.aggregate(
-        "_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc.at, s.end).alias("at"),
             F.when(s.start >= acc.at, F.concat(acc.out, F.substring(body, acc.at + 1, s.start - acc.at), F.lit(mask))).otherwise(acc.out).alias("out"),
         ),
         lambda acc: F.concat(acc.out, F.substring(body, acc.at + 1, F.length(body))),
     )
-    hit = hit.withColumn(text_col, F.when(F.col("_spans").isNull(), body).otherwise(masked))
+    hit = hit.withColumn(text_col, F.when(F.col(spans).isNull(), body).otherwise(masked))
     if size_col in docs.columns:
-        hit = hit.withColumn(size_col, F.when(F.col("_spans").isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
+        hit = hit.withColumn(size_col, F.when(F.col(spans).isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(docs.schema[size_col].dataType))
     return docs.where(~some).unionByName(hit.select(docs.columns))
 
 

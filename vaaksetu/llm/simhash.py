@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, words_of
+from .common import bound_batches, fresh, stage, words_of
 from .graph import connected_components
 
 #: Shingles hashed at a time, so that a very long text needs no more memory than a short one.
@@ -37,6 +37,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp) of every row, whole texts; fp is the fingerprint's 64 bits as a long."""
 
+    bound_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -127,10 +129,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 3) -> DataFrame:
     """Keeps one document of each component, the one with the smallest id; of rows that repeat it, one. Columns are those of docs.
 
-    Rows with a null id are kept: nothing says which of them a repeated row is.
+    Rows with a null id are kept: nothing says which of them a repeated row is. Null and empty texts are copies of each other; an empty table gives an empty one.
     """
     parts = simhash_components(docs, id_col, text_col, shingle, distance)
-    keep = parts.where("id = component").select(F.col("id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == F.col("_keep"), "left_semi")
+    name = fresh("_keep", docs)
+    keep = parts.where("id = component").select(F.col("id").alias(name)).distinct()
+    kept = docs.join(keep, docs[id_col] == F.col(name), "left_semi")
     alone = docs.where(docs[id_col].isNull())
     return kept.dropDuplicates([id_col]).unionByName(alone)
