@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from vaaksetu.llm import sharding
 from vaaksetu.llm.queries import ORACLE_SQL, QUERIES, SHARDS
@@ -49,3 +50,17 @@ def test_rows(spark, tmp_path):
 
 def test_sql(spark):
     assert same(spark, QUERIES["op10_sharding"], ORACLE_SQL["op10_sharding"], "/root/testdata/sf0.01") == 1000
+
+
+def test_largest_table(spark):
+    """As many slots as there may be: built and asked in a few seconds, the same places as the table itself."""
+    import time
+
+    names = [f"s{i}é" for i in range(5000)]
+    start = time.time()
+    rows = spark.range(2000).withColumnRenamed("id", "doc_id").withColumn("_slot", F.lit(1)).withColumn("Shard", F.lit("x"))
+    got = sharding.assign_shards(rows, "doc_id", names, sharding.MAX_SLOTS).collect()
+    assert time.time() - start < 60
+    table = sharding.lookup_table(names, sharding.MAX_SLOTS)
+    assert len(got) == 2000 and all(r.shard == names[table[r.shard_slot]] and r._slot == 1 for r in got)
+    assert sharding.assign_shards(rows.where("false")).count() == 0

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import struct
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The largest lookup table; what is broadcast is bounded by it whatever the input.
-MAX_SLOTS = 655_373
+from .common import fresh
+
+#: The largest lookup table, and the longest name of a shard in bytes; what is broadcast is bounded by them whatever the input.
+MAX_SLOTS, MAX_NAME = 655_373, 128
 
 
 def _is_prime(n: int) -> bool:
@@ -51,26 +55,40 @@ def slot_of(key: Column, slots: int) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long") % F.lit(slots)
 
 
+def owners(spark: SparkSession, shards: list[str], table: list[int]) -> DataFrame:
+    """(slot, shard) of a lookup table, built in Spark from one packed literal: 8 bytes a slot say where the owner's name lies among all names."""
+    names = [s.encode() for s in shards]
+    if max(map(len, names)) > MAX_NAME:
+        raise ValueError(f"a shard's name has more than {MAX_NAME} bytes")
+    starts = list(accumulate(map(len, names), initial=0))
+    entry = [struct.pack(">II", starts[i] + 1, len(n)) for i, n in enumerate(names)]
+    packed, blob = F.lit(b"".join(entry[i] for i in table)), F.lit(b"".join(names))
+    number = lambda at: F.conv(F.hex(F.substring(packed, at.cast("int"), F.lit(4))), 16, 10).cast("int")
+    rows = spark.range(len(table)).select(F.col("id").alias("slot"), number(F.col("id") * 8 + 1).alias("at"), number(F.col("id") * 8 + 5).alias("size"))
+    return rows.select("slot", F.decode(F.substring(blob, F.col("at"), F.col("size")), "UTF-8").alias("shard"))
+
+
 def assign_shards(df: DataFrame, key: str = "doc_id", shards: list[str] | None = None, slots: int = 4099, weights: list[int] | None = None) -> DataFrame:
     """df with the columns shard_slot (long) and shard (string): where each row goes, in constant time a row.
 
-    The table of at most MAX_SLOTS entries is a literal that every task holds, so a row finds its shard
-    by one array access: no join, no shuffle, and no task that a hot key could overload. Equal keys go to
-    the same shard; null keys go where the empty text goes. Columns of df that have these names are replaced.
+    The table of at most MAX_SLOTS entries, each with a name of at most MAX_NAME bytes, is broadcast and a row looks its slot up
+    in it: no shuffle, and no task that a hot key could overload. Equal keys go to the same shard; null keys go where the
+    empty text goes; repeated rows stay; an empty table gives an empty one. Columns of df that have these names are replaced.
     """
     shards = shards or [f"shard-{i:02d}" for i in range(32)]
-    table = lookup_table(shards, slots, weights)
-    owners = F.lit(table)
-    names = F.lit(list(shards))
-    out = df.withColumn("shard_slot", slot_of(df[key], slots))
-    return out.withColumn("shard", F.get(names, F.get(owners, F.col("shard_slot").cast("int"))))
+    at = fresh("_slot", df)
+    table = owners(df.sparkSession, shards, lookup_table(shards, slots, weights)).select(F.col("slot").alias(fresh("_owned", df)), F.col("shard").alias(fresh("_owner", df)))
+    placed = df.withColumn(at, slot_of(df[key], slots)).join(F.broadcast(table), F.col(at) == F.col(table.columns[0]), "left")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard_slot", "shard")]
+    return placed.select(*kept, F.col(at).alias("shard_slot"), F.col(table.columns[1]).alias("shard"))
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", spread: int = 16, **options) -> None:
     """Writes one folder of Parquet files for each shard.
 
     Rows of a shard are spread over `spread` tasks by their whole content's hash, so a shard that holds
-    many rows, or copies of one key, isn't written by a single task.
+    many rows, or copies of one key, isn't written by a single task. Null keys go where the empty text goes, repeated rows stay,
+    an empty table writes no folder.
     """
     placed = assign_shards(df, key, **options)
     salt = F.pmod(F.xxhash64(*[placed[c] for c in df.columns]), F.lit(spread))
