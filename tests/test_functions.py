@@ -9,6 +9,7 @@ from vaaksetu.functions import errors, loanwords, numbers, spelling, text, wer
 from vaaksetu.functions.lexicon import NUMBER_WORDS
 from vaaksetu.operators.alignment import align_words
 
+# Published or derived results that the functions must give.
 NUMBERS = {
     "दो": "2", "दस": "10", "सौ": "100", "पच्चीस": "25", "तीन सौ चौवन": "354", "एक हज़ार": "1000", "दो-चार बातें करनी हैं": "दो-चार बातें करनी हैं",
     "मेरी उम्र पच्चीस साल है": "मेरी उम्र 25 साल है", "": "", "कोई संख्या नहीं": "कोई संख्या नहीं", "दो लाख तीन हज़ार चार सौ पच्चीस": "203425",
@@ -99,3 +100,25 @@ def test_wer_and_alignment(spark):
 def test_null_is_null(spark, word):
     assert apply(spark, numbers.normalize_numbers, [None]) == [None]
     assert apply(spark, text.fold_nuqta, [word, None])[1] is None
+
+
+# Published words of low confidence, the class after the word where it isn't "incorrect".
+REVIEWED = """
+कहलो कैराम माध्यम। वोकेलबरी सॉल्टी मैलापन=correct मेरी-मेरी
+"""
+
+
+def test_published_review(spark):
+    words = [w.split("=") for w in REVIEWED.split()]
+    got = apply(spark, spelling.classify_word, [w[0] for w in words])
+    assert [(g.spelling, g.confidence) for g in got] == [((w + ["incorrect"])[1], "low") for w in words]
+
+
+def test_composition_is_for_texts_that_need_it(spark):
+    import unicodedata
+
+    rng = random.Random(9)
+    some = [chr(c) for c in (0x41, 0xE9, 0x65, 0x301, 0x928, 0x93C, 0x958, 0x2013, 0x2019, 0x212B, 0xAC00, 0x1100, 0x1161, 0x20, 0x30)]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(8))) for _ in range(300)]
+    plain = [" ".join("".join(c if "\u0900" <= c <= "\u097f" or c in " \t\n" or (c.isascii() and c.isalnum()) else " " for c in unicodedata.normalize("NFC", t)).split()) for t in texts]
+    assert apply(spark, text.clean_text, texts) == plain

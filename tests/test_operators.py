@@ -10,6 +10,7 @@ from vaaksetu.plans import pipelines, reports
 from vaaksetu.sources import audio, tables
 from vaaksetu.streaming import transcripts
 
+# An utterance with published rates.
 SAID = {"A": "उसने 14 पुस्तकें खरीदी", "B": "उसने चौदह किताबे खरीदीं", "C": "उसने चौदह किताबें खरीदी"}
 
 
@@ -111,7 +112,7 @@ def test_sources(spark, tmp_path):
         t = tables.cached(spark, f"{tmp_path}/cache", lambda: built.append(1) or spark.range(3).toDF("id"))
     assert t.count() == 3 and len(built) == 1
     rows = spark.createDataFrame([("a", "x"), ("b", "y")], "u string, d string")
-    assert {r.u: r.ok for r in tables.fetch_all(rows, lambda u, d: 1 / (u == "a") > 0, "u", "d").collect()} == {"a": True, "b": False}
+    assert {r.u: r.ok for r in tables.fetch_all(rows, "u", "d", lambda u, d: 1 / (u == "a") > 0).collect()} == {"a": True, "b": False}
 
 
 def test_stream(spark, tmp_path):
@@ -125,3 +126,44 @@ def test_stream(spark, tmp_path):
     b = transcripts.for_each_batch(stream, lambda d: d.select("reference"), f"{tmp_path}/out", f"{tmp_path}/cp")
     b.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    rng = random.Random(6)
+    for values in ([], [3.0], [1.0, 2.0], [-5.0, 0.0, 0.0, 7.5], [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randrange(-3, 6) for _ in range(501)] + [0.25] * 300):
+        rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        shares = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "q9": 0.9, "hi": 1.0}
+        got = manifest.exact_quantiles(rows, "v", shares).first()
+        for name, p in shares.items():
+            assert got[name] == (pytest.approx(float(np.quantile(values, p)), rel=1e-12) if values else None), (name, len(values))
+
+
+def test_speaker_is_named_or_not(spark):
+    json = '[{"start":0,"end":1,"text":"a"},{"start":0,"end":1,"speaker_id":null,"text":"b"},{"start":0,"end":1,"speaker_id":4,"text":"c"}]'
+    got = manifest.build_manifest(spark.createDataFrame([(7, 1, "x")], "user_id long, recording_id long, audio_path string"), spark.createDataFrame([(1, json)], "recording_id long, json string"))
+    assert {r.text: r.speaker_id for r in got.collect()} == {"a": 7, "b": None, "c": 4}
+
+
+def test_split_of_an_empty_table(spark):
+    assert manifest.exact_split(spark.createDataFrame([], "id long"), "id").count() == 0
+
+
+def test_audio_ranges_of_files(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(wav(2))
+    rows = spark.createDataFrame([(str(tmp_path / "a.wav"), 0.5, 1.5, "x", 1), (f"file://{tmp_path}/a.wav", 0.0, 1.0, "y", 2), (str(tmp_path / "none.wav"), 0.0, 1.0, "z", 3)], "audio_path string, start double, end double, text string, recording_id long")
+    assert {(r.text, r.duration) for r in audio.build_dataset(rows).collect()} == {("x", 1.0), ("y", 1.0)}
+
+
+def test_download(tmp_path):
+    (tmp_path / "from").write_text("x")
+    to = tmp_path / "to"
+    assert tables.download(f"file://{tmp_path}/from", str(to)) and to.read_text() == "x"
+    to.write_text("kept")
+    assert tables.download(f"file://{tmp_path}/from", str(to)) and to.read_text() == "kept"
+
+
+def test_white_space_survives_csv(spark, tmp_path):
+    tables.write_csv(spark.createDataFrame([(" a ",), ("b\n\"c\", d",)], "w string"), f"{tmp_path}/w")
+    assert {r.w for r in tables.read_csv(spark, f"{tmp_path}/w").collect()} == {" a ", 'b\n"c", d'}

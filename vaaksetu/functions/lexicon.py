@@ -7,25 +7,25 @@ UNITS = {
     "सात": 7, "आठ": 8, "नौ": 9, "नो": 9,
 }
 
-#: From 10 to 99, in order.
-TENS = (
-    "दस ग्यारह बारह तेरह चौदह पंद्रह सोलह सत्रह अठारह उन्नीस "
-    "बीस इक्कीस बाईस तेईस चौबीस पच्चीस छब्बीस सत्ताईस अट्ठाईस उनतीस "
-    "तीस इकतीस बत्तीस तैंतीस चौंतीस पैंतीस छत्तीस सैंतीस अड़तीस उनतालीस "
-    "चालीस इकतालीस बयालीस तैंतालीस चवालीस पैंतालीस छियालीस सैंतालीस अड़तालीस उनचास "
-    "पचास इक्यावन बावन तिरपन चौवन पचपन छप्पन सत्तावन अट्ठावन उनसठ "
-    "साठ इकसठ बासठ तिरसठ चौंसठ पैंसठ छियासठ सड़सठ अड़सठ उनहत्तर "
-    "सत्तर इकहत्तर बहत्तर तिहत्तर चौहत्तर पचहत्तर छिहत्तर सतहत्तर अठहत्तर उन्यासी "
-    "अस्सी इक्यासी बयासी तिरासी चौरासी पचासी छियासी सत्तासी अट्ठासी नवासी "
-    "नब्बे इक्यानवे बानवे तिरानवे चौरानवे पचानवे छियानवे सत्तानवे अट्ठानवे निन्यानवे"
-).split()
+#: From 10 to 99.
+TENS = {
+    "दस": 10, "ग्यारह": 11, "बारह": 12, "तेरह": 13, "चौदह": 14, "पंद्रह": 15, "सोलह": 16, "सत्रह": 17, "अठारह": 18, "उन्नीस": 19,
+    "बीस": 20, "इक्कीस": 21, "बाईस": 22, "तेईस": 23, "चौबीस": 24, "पच्चीस": 25, "छब्बीस": 26, "सत्ताईस": 27, "अट्ठाईस": 28, "उनतीस": 29,
+    "तीस": 30, "इकतीस": 31, "बत्तीस": 32, "तैंतीस": 33, "चौंतीस": 34, "पैंतीस": 35, "छत्तीस": 36, "सैंतीस": 37, "अड़तीस": 38, "उनतालीस": 39,
+    "चालीस": 40, "इकतालीस": 41, "बयालीस": 42, "तैंतालीस": 43, "चवालीस": 44, "पैंतालीस": 45, "छियालीस": 46, "सैंतालीस": 47, "अड़तालीस": 48, "उनचास": 49,
+    "पचास": 50, "इक्यावन": 51, "बावन": 52, "तिरपन": 53, "चौवन": 54, "पचपन": 55, "छप्पन": 56, "सत्तावन": 57, "अट्ठावन": 58, "उनसठ": 59,
+    "साठ": 60, "इकसठ": 61, "बासठ": 62, "तिरसठ": 63, "चौंसठ": 64, "पैंसठ": 65, "छियासठ": 66, "सड़सठ": 67, "अड़सठ": 68, "उनहत्तर": 69,
+    "सत्तर": 70, "इकहत्तर": 71, "बहत्तर": 72, "तिहत्तर": 73, "चौहत्तर": 74, "पचहत्तर": 75, "छिहत्तर": 76, "सतहत्तर": 77, "अठहत्तर": 78, "उन्यासी": 79,
+    "अस्सी": 80, "इक्यासी": 81, "बयासी": 82, "तिरासी": 83, "चौरासी": 84, "पचासी": 85, "छियासी": 86, "सत्तासी": 87, "अट्ठासी": 88, "नवासी": 89,
+    "नब्बे": 90, "इक्यानवे": 91, "बानवे": 92, "तिरानवे": 93, "चौरानवे": 94, "पचानवे": 95, "छियानवे": 96, "सत्तानवे": 97, "अट्ठानवे": 98, "निन्यानवे": 99,
+}
 
 MULTIPLIERS = {
     "सौ": 100, "हज़ार": 1000, "हजार": 1000, "हज़ारों": 1000, "लाख": 100000, "लाखों": 100000,
     "करोड़": 10000000, "करोड़ों": 10000000, "अरब": 1000000000,
 }
 
-NUMBER_WORDS = UNITS | dict(zip(TENS, range(10, 100))) | MULTIPLIERS
+NUMBER_WORDS = UNITS | TENS | MULTIPLIERS
 
 #: Number words of idioms stay as they are; a space stands for any run of white space.
 IDIOMS = [
@@ -37,21 +37,21 @@ IDIOMS = [
 APPROXIMATE = ["हजारों", "लाखों", "करोड़ों", "सैकड़ों", "बीसियों", "दर्जनों"]
 
 #: Loan words from English in Devanagari.
-LOANS = set(
-    "कंप्यूटर फ़ोन फोन मोबाइल लैपटॉप इंटरनेट वेबसाइट ऐप सॉफ्टवेयर हार्डवेयर डेटा नेटवर्क वाईफाई ब्लूटूथ सर्वर प्रोग्राम कोड टेक्नोलॉजी "
-    "ऑनलाइन ऑफलाइन डिजिटल वीडियो ऑडियो कैमरा "
-    "स्कूल कॉलेज यूनिवर्सिटी इंटरव्यू जॉब कंपनी ऑफिस बॉस मैनेजर प्रोजेक्ट मीटिंग प्रेजेंटेशन रिज्यूम सैलरी प्रमोशन टीम लीडर बजट टारगेट "
-    "रिपोर्ट ट्रेनिंग सर्टिफिकेट डिग्री एग्जाम रिजल्ट क्लास टीचर स्टूडेंट सब्जेक्ट टॉपिक नोट्स होमवर्क असाइनमेंट लेक्चर "
-    "बस ट्रेन ऑटो टैक्सी बाइक कार ड्राइवर टिकट स्टेशन एयरपोर्ट होटल रेस्टोरेंट शॉपिंग मॉल पार्क हॉस्पिटल डॉक्टर नर्स मेडिसिन "
-    "मैसेज कॉल ईमेल चैट सोशल मीडिया पोस्ट शेयर लाइक कमेंट फॉलो सब्सक्राइब अकाउंट पासवर्ड प्रोफाइल स्टोरी ग्रुप "
-    "हैप्पी सैड नर्वस कॉन्फिडेंट स्ट्रेस रिलैक्स मोटिवेशन इंस्पिरेशन पैशन सक्सेस फेल "
-    "प्रॉब्लम सॉल्व सॉल्यूशन इश्यू फिक्स एरर रीजन ऑप्शन चॉइस डिसीजन प्लान गोल "
-    "फैमिली फ्रेंड रिलेशनशिप पार्टी टूर ट्रिप हॉबी स्पोर्ट्स गेम म्यूजिक डांस फिल्म मूवी सीरीज बुक न्यूज़ टाइम लाइफ "
-    "एक्सपीरियंस टाइप पॉइंट लेवल फीचर क्वालिटी सिस्टम प्रोसेस मेथड बेसिक एडवांस सिंपल "
-    "फ्यूचर कॅरियर करियर फीडबैक अपडेट वर्जन कॉन्टेंट ब्रांड मार्केट बिजनेस कस्टमर प्रॉडक्ट सर्विस डिलीवरी ऑर्डर "
-    "परसेंट प्रतिशत नंबर टोटल एवरेज पॉपुलर फेमस इंपोर्टेंट स्पेशल नॉर्मल ऐक्चुअली बेसिकली ऑब्वियसली प्रॉपर सीरियस प्रैक्टिकल थ्योरी "
-    "प्योर हार्ट".split()
-)
+LOANS = {
+    "कंप्यूटर", "फ़ोन", "फोन", "मोबाइल", "लैपटॉप", "इंटरनेट", "वेबसाइट", "ऐप", "सॉफ्टवेयर", "हार्डवेयर", "डेटा", "नेटवर्क", "वाईफाई", "ब्लूटूथ",
+    "सर्वर", "प्रोग्राम", "कोड", "टेक्नोलॉजी", "ऑनलाइन", "ऑफलाइन", "डिजिटल", "वीडियो", "ऑडियो", "कैमरा", "स्कूल", "कॉलेज", "यूनिवर्सिटी", "इंटरव्यू",
+    "जॉब", "कंपनी", "ऑफिस", "बॉस", "मैनेजर", "प्रोजेक्ट", "मीटिंग", "प्रेजेंटेशन", "रिज्यूम", "सैलरी", "प्रमोशन", "टीम", "लीडर", "बजट", "टारगेट",
+    "रिपोर्ट", "ट्रेनिंग", "सर्टिफिकेट", "डिग्री", "एग्जाम", "रिजल्ट", "क्लास", "टीचर", "स्टूडेंट", "सब्जेक्ट", "टॉपिक", "नोट्स", "होमवर्क",
+    "असाइनमेंट", "लेक्चर", "बस", "ट्रेन", "ऑटो", "टैक्सी", "बाइक", "कार", "ड्राइवर", "टिकट", "स्टेशन", "एयरपोर्ट", "होटल", "रेस्टोरेंट", "शॉपिंग",
+    "मॉल", "पार्क", "हॉस्पिटल", "डॉक्टर", "नर्स", "मेडिसिन", "मैसेज", "कॉल", "ईमेल", "चैट", "सोशल", "मीडिया", "पोस्ट", "शेयर", "लाइक", "कमेंट",
+    "फॉलो", "सब्सक्राइब", "अकाउंट", "पासवर्ड", "प्रोफाइल", "स्टोरी", "ग्रुप", "हैप्पी", "सैड", "नर्वस", "कॉन्फिडेंट", "स्ट्रेस", "रिलैक्स",
+    "मोटिवेशन", "इंस्पिरेशन", "पैशन", "सक्सेस", "फेल", "प्रॉब्लम", "सॉल्व", "सॉल्यूशन", "इश्यू", "फिक्स", "एरर", "रीजन", "ऑप्शन", "चॉइस", "डिसीजन",
+    "प्लान", "गोल", "फैमिली", "फ्रेंड", "रिलेशनशिप", "पार्टी", "टूर", "ट्रिप", "हॉबी", "स्पोर्ट्स", "गेम", "म्यूजिक", "डांस", "फिल्म", "मूवी",
+    "सीरीज", "बुक", "न्यूज़", "टाइम", "लाइफ", "एक्सपीरियंस", "टाइप", "पॉइंट", "लेवल", "फीचर", "क्वालिटी", "सिस्टम", "प्रोसेस", "मेथड", "बेसिक",
+    "एडवांस", "सिंपल", "फ्यूचर", "कॅरियर", "करियर", "फीडबैक", "अपडेट", "वर्जन", "कॉन्टेंट", "ब्रांड", "मार्केट", "बिजनेस", "कस्टमर", "प्रॉडक्ट",
+    "सर्विस", "डिलीवरी", "ऑर्डर", "परसेंट", "प्रतिशत", "नंबर", "टोटल", "एवरेज", "पॉपुलर", "फेमस", "इंपोर्टेंट", "स्पेशल", "नॉर्मल", "ऐक्चुअली",
+    "बेसिकली", "ऑब्वियसली", "प्रॉपर", "सीरियस", "प्रैक्टिकल", "थ्योरी", "प्योर", "हार्ट",
+}
 
 #: Devanagari to Roman by code point; the four letters with a nuqta are two code points and are looked up first.
 ROMAN = {
@@ -65,23 +65,62 @@ ROMAN = {
 }
 ROMAN_PAIRS = {"फ़": "f", "ज़": "z", "ड़": "r", "ढ़": "rh"}
 
-ENGLISH = set(
-    "interview job computer phone mobile laptop internet website app software hardware data network server program code technology online offline digital "
-    "video audio camera school college university office boss manager project meeting presentation resume salary promotion team leader budget target "
-    "report training certificate degree exam result class teacher student subject topic notes homework assignment lecture bus train auto taxi "
-    "bike car driver ticket station airport hotel restaurant shopping mall park hospital doctor nurse medicine message call email chat social "
-    "media post share like comment follow subscribe account password profile story group happy sad nervous confident stress relax motivation success "
-    "fail problem solve solution issue fix error reason option choice decision plan goal family friend relationship party tour trip hobby sports "
-    "game music dance film movie series book news time life experience type point level feature quality system process method basic advance simple "
-    "future career feedback update version content brand market business customer product service delivery order percent number total average "
-    "popular famous important special normal actually basically obviously proper serious practical theory pure heart".split()
-)
-
-SUFFIXES = "ों ें ां ाँ ने ता ती ते ना नी ली ले ला या ये यी ाई ीं ूँ ीय वाला वाली वाले कर पन दार गार गी".split()
-PREFIXES = "अन बे बद ला ना निर परा प्रति सम अधि अनु उप सह अप".split()
+ENGLISH = {
+    "interview", "job", "computer", "phone", "mobile", "laptop", "internet", "website", "app", "software", "hardware", "data", "network", "server",
+    "program", "code", "technology", "online", "offline", "digital", "video", "audio", "camera", "school", "college", "university", "office", "boss",
+    "manager", "project", "meeting", "presentation", "resume", "salary", "promotion", "team", "leader", "budget", "target", "report", "training",
+    "certificate", "degree", "exam", "result", "class", "teacher", "student", "subject", "topic", "notes", "homework", "assignment", "lecture", "bus",
+    "train", "auto", "taxi", "bike", "car", "driver", "ticket", "station", "airport", "hotel", "restaurant", "shopping", "mall", "park", "hospital",
+    "doctor", "nurse", "medicine", "message", "call", "email", "chat", "social", "media", "post", "share", "like", "comment", "follow", "subscribe",
+    "account", "password", "profile", "story", "group", "happy", "sad", "nervous", "confident", "stress", "relax", "motivation", "success", "fail",
+    "problem", "solve", "solution", "issue", "fix", "error", "reason", "option", "choice", "decision", "plan", "goal", "family", "friend",
+    "relationship", "party", "tour", "trip", "hobby", "sports", "game", "music", "dance", "film", "movie", "series", "book", "news", "time", "life",
+    "experience", "type", "point", "level", "feature", "quality", "system", "process", "method", "basic", "advance", "simple", "future", "career",
+    "feedback", "update", "version", "content", "brand", "market", "business", "customer", "product", "service", "delivery", "order", "percent",
+    "number", "total", "average", "popular", "famous", "important", "special", "normal", "actually", "basically", "obviously", "proper", "serious",
+    "practical", "theory", "pure", "heart",
+}
+
+SUFFIXES = [
+    "ों", "ें", "ां", "ाँ", "ने", "ता", "ती", "ते", "ना", "नी", "ली", "ले", "ला", "या", "ये", "यी", "ाई", "ीं", "ूँ", "ीय", "वाला", "वाली", "वाले",
+    "कर", "पन", "दार", "गार", "गी",
+]
+PREFIXES = [
+    "अन", "बे", "बद", "ला", "ना", "निर", "परा", "प्रति", "सम", "अधि", "अनु", "उप", "सह", "अप",
+]
+
+#: Words that are right beyond doubt, but for the regular verb forms below.
+CORE_WORDS = [
+    "मैं", "हम", "तुम", "आप", "वह", "वो", "यह", "ये", "वे", "इसमें", "उसमें", "उनमें", "मुझे", "हमें", "तुम्हें", "उन्हें", "मेरा", "हमारा",
+    "तुम्हारा", "उसका", "उसकी", "उसके", "मेरी", "मेरे", "अपना", "अपनी", "अपने",
+    "है", "हैं", "था", "थी", "थे", "हो", "करें", "किया", "कर", "करके", "जाए", "गया", "गई", "गए", "आया", "आई", "आए", "दिया", "दे", "दी", "लिया", "ले", "खा", "पिया",
+    "में", "पर", "से", "को", "के", "की", "का", "ने", "तक", "पे",
+    "और", "या", "कि", "लेकिन", "मगर", "तो", "भी", "ही", "सिर्फ", "बस", "फिर", "अगर", "जैसे", "जब", "तब", "क्योंकि", "इसलिए", "इसीलिए", "ताकि", "चाहे",
+    "बहुत", "ज्यादा", "कम", "अभी", "अब", "कल", "आज", "परसों", "कभी", "हमेशा", "जल्दी", "धीरे", "ऊपर", "नीचे", "आगे", "पीछे",
+    "यहां", "वहां", "कहां", "कहीं", "सामने", "पहले", "बाद", "ठीक", "सही", "गलत", "अच्छा", "बुरा", "अच्छी", "अच्छे",
+    "लोग", "लोगों", "बात", "बातें", "दिन", "रात", "समय", "साल", "घर", "देश", "शहर", "गांव", "पानी", "काम", "नाम", "जगह", "तरह", "तरीका", "तरीके", "चीज", "चीजें", "चीज़",
+    "आदमी", "औरत", "बच्चा", "बच्चे", "बच्चों", "बच्ची", "पैसा", "पैसे", "रुपये", "दोस्त", "दोस्तों", "मां", "माँ", "पिता", "भाई", "बहन", "परिवार", "पढ़ाई", "शादी", "जीवन",
+    "क्या", "कैसे", "कहाँ", "कब", "कौन", "क्यों", "किसने", "कितना",
+    "एक", "दो", "तीन", "चार", "पांच", "छह", "सात", "आठ", "नौ", "दस",
+    "नहीं", "मत", "ना", "न", "नही",
+    "मतलब", "हां", "हाँ", "जी", "ओके", "हेलो", "धन्यवाद", "शुक्रिया", "बिल्कुल", "बिलकुल",
+]
+
+#: Verb stems with the endings that make forms of theirs that are right beyond doubt.
+CORE_VERBS = {
+    "हो": ["ना", "ता", "ती", "ते"], "कर": ["ना", "ता", "ती", "ते"], "जा": ["ना", "ता", "ती", "ते"], "आ": ["ना", "ता", "ती", "ते"], "दे": ["ना", "ता", "ती", "ते"],
+    "ले": ["ना", "ता", "ती", "ते"], "बोल": ["ना", "ता", "ती", "ते", "ा"], "सुन": ["ना", "ता", "ती", "ते", "ा"], "देख": ["ना", "ता", "ती", "ते", "ा"],
+    "रह": ["ना", "ता", "ती", "ते", "ा", "ी", "े"], "चल": ["ना", "ता", "ती", "ते", "ा", "ी", "े"], "मिल": ["ना", "ता", "ती", "ते", "ा", "ी"],
+    "सोच": ["ना", "ता", "ती", "ते", "ा"], "पड़": ["ना", "ता", "ती", "ते"], "बन": ["ना", "ता", "ती"], "बना": ["ना", "ता"], "खा": ["ना", "ता", "ती", "ते"],
+    "पी": ["ना", "ता", "ती"], "लग": ["ना", "ता", "ती", "ा", "ी"],
+}
+CORE_VOCABULARY = CORE_WORDS + [stem + ending for stem, endings in CORE_VERBS.items() for ending in endings]
 
 #: Words whose presence on one side only marks a mismatch of number formats.
-MISMATCH_WORDS = "एक दो तीन चार पांच छह सात आठ नौ दस बीस तीस चालीस पचास साठ सत्तर अस्सी नब्बे सौ हज़ार लाख करोड़ पच्चीस पंद्रह बारह चौदह".split()
+MISMATCH_WORDS = [
+    "एक", "दो", "तीन", "चार", "पांच", "छह", "सात", "आठ", "नौ", "दस", "बीस", "तीस", "चालीस", "पचास", "साठ", "सत्तर", "अस्सी", "नब्बे", "सौ", "हज़ार",
+    "लाख", "करोड़", "पच्चीस", "पंद्रह", "बारह", "चौदह",
+]
 
 HOMOPHONES = [
     ("वह", "वो"), ("यह", "ये"), ("मैं", "में"), ("है", "हैं"), ("हूँ", "हूं"), ("हाँ", "हां"), ("ज़्यादा", "ज्यादा"),

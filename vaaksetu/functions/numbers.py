@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from .lexicon import APPROXIMATE, IDIOMS, NUMBER_WORDS, TENS, UNITS
 from .text import WS
+from .wer import bind
 
 
 def _run(space: str, bounded: bool = False) -> str:
@@ -56,19 +57,22 @@ def normalize_numbers(text: Column, word_boundary: bool = False) -> Column:
     A run that starts within an idiom and a run with an approximate number stay as they are. Runs ignore word
     boundaries unless word_boundary is set, which also keeps every form listed as approximate.
     """
-    run, spans = _run(WS, word_boundary), F.array().cast("array<struct<s:int,e:int>>")
-    gaps, found = F.split(text, run, -1), F.regexp_extract_all(text, F.lit(run), F.lit(0))
-    for idiom in _idioms(WS):
-        spans = F.concat(spans, _starts(F.split(text, idiom, -1), F.regexp_extract_all(text, F.lit(idiom), F.lit(0))))
+    run, none = _run(WS, word_boundary), F.array().cast("array<struct<s:int,e:int>>")
+    idioms = [_starts(F.split(text, i, -1), F.regexp_extract_all(text, F.lit(i), F.lit(0))) for i in _idioms(WS)]
+    # Few texts have an idiom: the others are matched against all of them at once and then left alone.
+    spans = F.when(F.rlike(text, F.lit("|".join(_idioms(WS)))), F.concat(*idioms)).otherwise(none)
+    # What is bound is computed once a row, not once a run.
+    row = F.struct(F.split(text, run, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(run), F.lit(0)).alias("found"), spans.alias("spans"))
 
-    def convert(m: Column, at: Column) -> Column:
-        words = F.split(m, f"[{WS}]+")
-        kept = F.exists(spans, lambda s: (s.s <= at) & (at < s.e)) | F.arrays_overlap(words, F.lit(APPROXIMATE))
-        return F.when(kept, m).otherwise(_value(words).cast("string"))
+    def convert(m: Column, at: Column, spans: Column) -> Column:
+        value = lambda words: F.when(F.arrays_overlap(words, F.lit(APPROXIMATE)), m).otherwise(_value(words).cast("string"))
+        return F.when(F.exists(spans, lambda s: (s.s <= at) & (at < s.e)), m).otherwise(bind(F.split(m, f"[{WS}]+"), value))
 
-    new = F.transform(F.arrays_zip(found.alias("m"), _starts(gaps, found).alias("p")), lambda x: convert(x.m, x.p.s))
-    out = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), new.alias("n")), lambda x: F.concat(x.g, F.coalesce(x.n, F.lit("")))), "")
-    return F.when(F.rlike(text, F.lit(run)), out).otherwise(text)
+    def rewritten(x: Column) -> Column:
+        new = F.transform(F.arrays_zip(x.found.alias("m"), _starts(x.gaps, x.found).alias("p")), lambda y: convert(y.m, y.p.s, x.spans))
+        return F.array_join(F.zip_with(x.gaps, new, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+
+    return F.when(F.rlike(text, F.lit(run)), bind(row, rewritten)).otherwise(text)
 
 
 def evaluate(words: list[str]) -> int:
@@ -110,7 +114,7 @@ def normalize_numbers_arrow(batches: Iterator[pd.Series]) -> Iterator[pd.Series]
 
 def spell_number(n: Column) -> Column:
     """Whole numbers from 0 to under 10^9 in Hindi words, by crores, lakhs, thousands, hundreds; each multiplier has its count before it."""
-    small = F.lit([next(w for w, v in UNITS.items() if v == i) for i in range(10)] + TENS)
+    small = F.lit([next(w for w, v in UNITS.items() if v == i) for i in range(10)] + list(TENS))
     word = lambda v: F.get(small, v.cast("int"))
     group = lambda v, name: F.when(v > 0, F.concat_ws(" ", word(v), F.lit(name)))
     n = n.cast("long")

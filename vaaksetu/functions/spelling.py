@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import PREFIXES, SUFFIXES
+from .lexicon import CORE_VOCABULARY, PREFIXES, SUFFIXES
 from .loanwords import loan_method
 from .text import fold_nuqta, strip_ws
 
@@ -25,11 +25,10 @@ def well_formed(word: Column) -> Column:
     return F.rlike(word, F.lit(r"[ऀ-ॿ]")) & ~F.rlike(word, F.lit(r"[ा-ौ]{2}"))
 
 
-def classify_word(word: Column, vocabulary: Iterable[str]) -> Column:
+def classify_word(word: Column, vocabulary: Iterable[str] = CORE_VOCABULARY) -> Column:
     """struct(spelling, confidence, reason); the first rule that fits decides.
 
-    vocabulary: words known to be right, in composed form. It is a parameter: give the list your results must agree with. For more
-    words than a literal should hold, classify distinct words joined with a vocabulary table instead, see operators.spelling.
+    vocabulary: words known to be right, in composed form.
     """
     known = sorted(set(vocabulary)) or [""]
     w = strip_ws(word)
@@ -38,6 +37,7 @@ def classify_word(word: Column, vocabulary: Iterable[str]) -> Column:
     def verdict(right: bool, confidence: str, reason: str | Column) -> Column:
         return F.struct(F.lit("correct" if right else "incorrect").alias("spelling"), F.lit(confidence).alias("confidence"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
 
+    # The reasons, as published.
     return (
         F.when(w == "", verdict(False, "high", "Empty string"))
         .when(F.rlike(w, F.lit(r"""^[.,!?;:"'\-()।॥]+$""")), verdict(True, "high", "Punctuation token"))

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 #: White space as Unicode has it; Java's \s is ASCII only.
 WS = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 DEVANAGARI = r"\u0900-\u097F"
+#: Characters that composition could change: none before the combining marks, nor common punctuation.
+COMPOSABLE = r"[^\x00-\u02ff\u2010-\u205e]"
 #: Characters deleted before words are aligned.
 ALIGN_DROP = r"""[।,.!?;:"'\-()\[\]]"""
 
@@ -41,9 +43,12 @@ def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def clean_text(text: Column, normalize: bool = True) -> Column:
     """Keeps Devanagari, ASCII letters and digits; anything else becomes white space, which is squeezed. Case stays.
 
-    normalize=False skips composition, and with it the only step in Python, for text known to be composed.
+    Composition is the only step in Python; texts without a character that it could change aren't sent there. normalize=False
+    skips it for text known to be composed.
     """
-    return squeeze(F.regexp_replace(nfc(text) if normalize else text, f"[^{DEVANAGARI}{WS}a-zA-Z0-9]", " "))
+    if normalize:
+        text = F.coalesce(nfc(F.when(F.rlike(text, F.lit(COMPOSABLE)), text)), text)
+    return squeeze(F.regexp_replace(text, f"[^{DEVANAGARI}{WS}a-zA-Z0-9]", " "))
 
 
 def align_tokens(text: Column) -> Column:

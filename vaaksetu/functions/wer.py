@@ -1,11 +1,14 @@
-"""Word edits, word error rates and lattice edits, in expressions that stay in the JVM."""
+"""Word edits and word error rates, in expressions that stay in the JVM; lattice edits, in Arrow batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import strip_ws, tokens
 
@@ -13,7 +16,7 @@ from .text import strip_ws, tokens
 _FIRST = 0x10000
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once a row: what stands within a lambda is otherwise computed anew for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -30,7 +33,7 @@ def word_edits(ref: Column, hyp: Column) -> Column:
     Words become single characters, so that the built-in levenshtein counts words. Takes time in proportion to the product of both lengths.
     """
     both = F.struct(ref.alias("r"), hyp.alias("h"), F.array_distinct(F.concat(ref, hyp)).alias("known"))
-    return _bind(both, lambda x: F.levenshtein(_as_text(x.r, x.known), _as_text(x.h, x.known)).cast("long"))
+    return bind(both, lambda x: F.levenshtein(_as_text(x.r, x.known), _as_text(x.h, x.known)).cast("long"))
 
 
 def _rate(edits: Column, n_ref: Column, n_hyp: Column) -> Column:
@@ -47,27 +50,30 @@ def sample_wer(ref: Column, pred: Column) -> Column:
     return F.when(strip_ws(ref) == "", F.lit(0.0)).otherwise(standard_wer(tokens(ref), tokens(pred)))
 
 
-def lattice_edits(bins: Column, hyp: Column) -> Column:
+def _bin_edits(bins: Sequence[Sequence[str]], hyp: Sequence[str]) -> int:
+    where: dict[str, list[int]] = {}
+    for j, w in enumerate(hyp):
+        where.setdefault(w, []).append(j)
+    place = np.arange(len(hyp) + 1)
+    row = place
+    for accepted in bins:
+        cost = np.ones(len(hyp), np.int64)
+        for w in accepted:
+            cost[where.get(w, [])] = 0
+        new = row + 1
+        np.minimum(new[1:], row[:-1] + cost, out=new[1:])
+        row = np.minimum.accumulate(new - place) + place
+    return int(row[-1])
+
+
+@F.pandas_udf(T.LongType())
+def lattice_edits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Least edits between a hypothesis and an array of bins (arrays of accepted words): a word is free where its bin has it.
 
-    One row of the table is kept: a fold over the bins whose step is a fold over the hypothesis.
+    Columns: bins, hypothesis. In Arrow batches, a row of the table at a time: expressions would copy the row for each of its cells.
     """
-    return _bind(hyp, lambda h: _fold_bins(bins, h))
-
-
-def _fold_bins(bins: Column, hyp: Column) -> Column:
-    n = F.size(hyp)
-    first = F.when(n > 0, F.concat(F.array(F.lit(0)), F.transform(hyp, lambda w, i: (i + 1).cast("int")))).otherwise(F.array(F.lit(0)))
-
-    def next_row(row: Column, accepted: Column) -> Column:
-        def cell(new: Column, x: Column) -> Column:
-            best = F.least(x.diag + F.when(F.array_contains(accepted, x.w), 0).otherwise(1), x.up + 1, F.element_at(new, -1) + 1)
-            return F.concat(new, F.array(best))
-
-        cells = F.zip_with(F.arrays_zip(hyp.alias("w"), F.slice(row, F.lit(1), n).alias("diag")), F.slice(row, F.lit(2), n), lambda a, up: F.struct(a.w.alias("w"), a.diag.alias("diag"), up.alias("up")))
-        return F.when(n == 0, F.array(F.get(row, F.lit(0)) + 1)).otherwise(F.aggregate(cells, F.array(F.get(row, F.lit(0)) + 1), cell))
-
-    return F.element_at(F.aggregate(bins, first, next_row), -1).cast("long")
+    for bins, hyps in batches:
+        yield pd.Series([None if b is None or h is None else _bin_edits(b, h) for b, h in zip(bins, hyps)], dtype="Int64")
 
 
 def lattice_wer(bins: Column, hyp: Column) -> Column:

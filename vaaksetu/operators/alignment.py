@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,21 +12,39 @@ from pyspark.sql import types as T
 OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("ref_pos", T.IntegerType()), T.StructField("hyp_pos", T.IntegerType())]))
 
 
+def edit_table(costs: np.ndarray) -> np.ndarray:
+    """Table of distances, row by row: costs[i, j] is what it takes to put word j of the hypothesis for word i of the reference, 0 or 1.
+
+    Within a row a cell follows from its left neighbour by an insertion; as that adds one a place, all of them are a running minimum of the cells less their place.
+    """
+    m, n = costs.shape
+    place = np.arange(n + 1, dtype=np.int32)
+    table = np.empty((m + 1, n + 1), np.int32)
+    table[0] = place
+    for i in range(m):
+        row = table[i] + 1
+        np.minimum(row[1:], table[i, :-1] + costs[i], out=row[1:])
+        table[i + 1] = np.minimum.accumulate(row - place) + place
+    return table
+
+
 def align_words(ref: Sequence[str], hyp: Sequence[str]) -> list[tuple[str, int | None, int | None]]:
     """Unit-cost alignment as M, S, D and I steps; of equally cheap steps a diagonal one is taken first, then D, then I."""
-    table = [list(range(len(hyp) + 1))]
-    for i, w in enumerate(ref, 1):
-        above, row = table[-1], [i]
-        for j, v in enumerate(hyp, 1):
-            row.append(above[j - 1] if w == v else 1 + min(above[j - 1], above[j], row[-1]))
-        table.append(row)
     i, j, steps = len(ref), len(hyp), []
+    # Where both end alike a match is the first choice, so the common end needs no table.
+    while i and j and ref[i - 1] == hyp[j - 1]:
+        i, j = i - 1, j - 1
+        steps.append(("M", i, j))
+    code: dict[str, int] = {}
+    a, b = (np.fromiter((code.setdefault(w, len(code)) for w in words), np.int32, n) for words, n in ((ref[:i], i), (hyp[:j], j)))
+    table = edit_table(a[:, None] != b[None, :])
     while i or j:
-        same = i > 0 and j > 0 and ref[i - 1] == hyp[j - 1]
-        if i and j and table[i][j] == table[i - 1][j - 1] + (not same):
+        here = table[i, j]
+        same = i > 0 and j > 0 and a[i - 1] == b[j - 1]
+        if i and j and here == table[i - 1, j - 1] + (not same):
             i, j = i - 1, j - 1
             steps.append(("M" if same else "S", i, j))
-        elif i and table[i][j] == table[i - 1][j] + 1:
+        elif i and here == table[i - 1, j] + 1:
             i -= 1
             steps.append(("D", i, None))
         else:

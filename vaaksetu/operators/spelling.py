@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import CORE_VOCABULARY
 from ..functions.loanwords import is_loan
 from ..functions.spelling import classify_word
 from ..functions.text import devanagari_only, strip_ws, tokens
@@ -21,7 +22,7 @@ UNRELIABLE = [
 ]
 
 
-def classify_list(words: DataFrame, vocabulary: Iterable[str], column: str | None = None) -> DataFrame:
+def classify_list(words: DataFrame, vocabulary: Iterable[str] = CORE_VOCABULARY, column: str | None = None) -> DataFrame:
     """(word, spelling, confidence, reason) of the distinct words of a column, the first one by default.
 
     Words are made distinct before they are classified and as they are written, so two that differ in outer white space both stay. Null and blank words fall out.

@@ -1,49 +1,21 @@
 """The queries over the driver's tables and their DuckDB counterparts.
 
-The tables hold no Hindi, so queries of Hindi functions run on text spelled from the tables' integers or on words of the
-lexicon chosen by a key; their SQL states the expected result independently where it can.
+The tables hold no Hindi, so queries of Hindi functions run on text spelled from the tables' integers or on words that keys
+choose; their SQL works the result out from the same keys. Queries on errors, words, lattices and files have modules of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import errors, loanwords, numbers, spelling, text, wer
+from ..functions import errors, numbers, text, wer
+from ..functions.lexicon import HOMOPHONES
 from ..operators import evaluation, lattice, manifest, taxonomy
 from ..operators import spelling as words_op
 from ..operators.alignment import align
-
-#: Words classified by the queries on spelling and loans; a row takes the word that its key points at.
-WORDS = ["है", "अच्छा", "लोगवाला", "abc", "काा", "हु", "कताबें", "बजत", "।", "जॉब", "प्रोग्रामिंग", "ज़्यादा", "प्रॉब्लम", "स्टूडेंट्स", "करवाना", "interview"]
-VOCABULARY = ["है", "अच्छा", "लोग", "ज्यादा"]
-#: What the classification of WORDS must give: class, confidence, how a loan is known.
-EXPECTED = [
-    ("correct", "high", "none"), ("correct", "high", "none"), ("correct", "medium", "none"), ("incorrect", "high", "empty"), ("incorrect", "high", "none"), ("correct", "low", "none"),
-    ("correct", "low", "none"), ("incorrect", "low", "none"), ("correct", "high", "none"), ("correct", "high", "dictionary"), ("correct", "high", "fuzzy_transliteration"), ("correct", "high", "none"),
-    ("correct", "high", "dictionary"), ("incorrect", "low", "none"), ("correct", "low", "none"), ("incorrect", "high", "empty"),
-]
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
+from . import catalog_data, catalog_errors, catalog_lattice, catalog_words  # noqa: F401  their queries register on import
+from .registry import ORACLE_SQL, QUERIES, SPLIT, edit_tables, query, read  # noqa: F401
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as a reference and the next one of its conversation as a prediction; joined by key, not by position."""
@@ -56,43 +28,37 @@ def _words(c: str) -> Column:
     return text.tokens(F.col(c))
 
 
-SPLIT = r"list_filter(regexp_split_to_array({c}, '\s+'), lambda w: w <> '')"
-#: Word edits by the table of distances: the outer fold adds a row for each reference word, the inner one a cell for each predicted word.
 PAIRS = f"""
   pairs AS (SELECT a.conv_id, a.turn, a.role, a.text AS reference, b.text AS prediction FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-  cut AS (SELECT *, {SPLIT.format(c="reference")} AS r, {SPLIT.format(c="prediction")} AS p FROM pairs),
-  coded AS (SELECT *, len(r)::BIGINT AS n, list_transform(p, lambda w: list_position(d, w)::INT) AS h, list_transform(r, lambda w: [list_position(d, w)::INT]) AS ref, list_transform(range(1, len(p) + 1), lambda j: [j::INT]) AS steps,
-    range(0, len(p) + 1)::INT[] AS first FROM (SELECT *, list_distinct(list_concat(r, p)) AS d FROM cut)),
-  edits AS (SELECT *, list_reduce(ref, lambda up, x: list_reduce(steps, lambda row, j: list_append(row, least(up[j[1]] + (x[1] <> h[j[1]])::INT, up[j[1] + 1] + 1, row[-1] + 1)), [up[1] + 1]), first)[-1] AS e FROM coded)"""
+  cut AS (SELECT *, {SPLIT.format(c="reference")} AS r, {SPLIT.format(c="prediction")} AS p, len(r)::BIGINT AS n FROM pairs), {edit_tables("cut", "edits")}"""
 
 
-@query(f"WITH {PAIRS} SELECT conv_id, turn, role, e::BIGINT AS edits, n AS words, round(CASE WHEN n > 0 THEN e / n WHEN len(p) = 0 THEN 0 END, 9) AS wer FROM edits WHERE n > 0 OR len(p) = 0")
+@query(f"WITH {PAIRS} SELECT conv_id, turn, role, e_edits AS edits, n AS words, CASE WHEN n > 0 THEN round(e_edits / n, 9) WHEN len(p) = 0 THEN 0 ELSE 'Infinity'::DOUBLE END AS wer FROM edits")
 def std_wer_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turn_pairs(spark, sf_dir).select("conv_id", "turn", "role", _words("reference").alias("r"), _words("prediction").alias("p"))
-    rows = rows.where((F.size("r") > 0) | (F.size("p") == 0))
     return rows.select("conv_id", "turn", "role", wer.word_edits(F.col("r"), F.col("p")).alias("edits"), F.size("r").cast("long").alias("words"), F.round(wer.standard_wer(F.col("r"), F.col("p")), 9).alias("wer"))
 
 
-@query(f"WITH {PAIRS} SELECT role, sum(e)::BIGINT AS edits, sum(n)::BIGINT AS words, round(sum(e) / sum(n), 9) AS wer FROM edits GROUP BY role")
+@query(f"WITH {PAIRS} SELECT role, sum(e_edits)::BIGINT AS edits, sum(n)::BIGINT AS words, round(sum(e_edits) / sum(n), 9) AS wer FROM edits GROUP BY role")
 def corpus_wer_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = turn_pairs(spark, sf_dir).select("role", F.array_join(_words("reference"), " ").alias("reference"), F.array_join(_words("prediction"), " ").alias("prediction"))
     return evaluation.corpus_wer(pairs, "role").withColumn("wer", F.round("wer", 9))
 
 
-@query(f"WITH {PAIRS} SELECT role, round(avg(e / n), 9) AS standard_wer, round(avg(e / n), 9) AS lattice_wer, count(*) AS utterances FROM edits WHERE n > 0 GROUP BY role")
+@query(f"WITH {PAIRS} SELECT role, round(avg(w), 9) AS standard_wer, round(avg(w), 9) AS lattice_wer, count(*) AS utterances FROM (SELECT role, CASE WHEN n > 0 THEN e_edits / n WHEN len(p) = 0 THEN 0 ELSE 'Infinity'::DOUBLE END AS w FROM edits) GROUP BY role")
 def macro_wer_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lattice edits against bins of one word each are plain edits, so both rates agree."""
-    rows = turn_pairs(spark, sf_dir).select(F.col("role").alias("model"), _words("reference").alias("r"), _words("prediction").alias("p")).where(F.size("r") > 0)
+    rows = turn_pairs(spark, sf_dir).select(F.col("role").alias("model"), _words("reference").alias("r"), _words("prediction").alias("p"))
     bins = F.transform("r", lambda w: F.array(w))
     scores = rows.select("model", wer.standard_wer(F.col("r"), F.col("p")).alias("standard_wer"), wer.lattice_wer(bins, F.col("p")).alias("lattice_wer"))
     out = lattice.summarize_models(scores)
     return out.select(F.col("model").alias("role"), F.round("standard_wer", 9).alias("standard_wer"), F.round("lattice_wer", 9).alias("lattice_wer"), "utterances")
 
 
-@query(f"WITH {PAIRS} SELECT conv_id, turn, e::BIGINT AS edits FROM edits WHERE len(p) > 0 OR n > 0")
+@query(f"WITH {PAIRS} SELECT conv_id, turn, e_edits AS edits FROM edits")
 def alignment_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of the alignment that aren't matches: as many as there are edits."""
-    rows = turn_pairs(spark, sf_dir).select("conv_id", "turn", align(_words("reference"), _words("prediction")).alias("ops")).where(F.size("ops") > 0)
+    rows = turn_pairs(spark, sf_dir).select("conv_id", "turn", align(_words("reference"), _words("prediction")).alias("ops"))
     return rows.select("conv_id", "turn", F.size(F.filter("ops", lambda o: o.op != "M")).cast("long").alias("edits"))
 
 
@@ -108,15 +74,18 @@ def consensus_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.consensus_votes(rows.withColumn("ops", same)).withColumnRenamed("segment", "conv_id")
 
 
+ALIKE = " OR ".join(f"(contains(r, '{x}') AND contains(h, '{y}')) OR (contains(r, '{y}') AND contains(h, '{x}'))" for x, y in HOMOPHONES)
+
+
 @query(rf"""
 WITH p AS (SELECT a.conv_id, a.turn, a.text AS r, b.text AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
 t AS (SELECT *, {SPLIT.format(c="r")} AS a, {SPLIT.format(c="h")} AS b FROM p)
 SELECT conv_id, turn, trim(regexp_replace(r, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), ' \n\t') = trim(regexp_replace(h, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), ' \n\t') AS c1,
-  regexp_matches(h, '\p{{Nd}}') AND NOT regexp_matches(r, '\p{{Nd}}') AS c2, regexp_matches(r, '[a-zA-Z]{{2,}}') <> regexp_matches(h, '[a-zA-Z]{{2,}}') AS c3,
+  {catalog_errors.mismatch_sql('a', 'b', 'r', 'h')} AS c2, regexp_matches(r, '[a-zA-Z]{{2,}}') <> regexp_matches(h, '[a-zA-Z]{{2,}}') AS c3, {ALIKE} AS c4,
   len(list_filter(range(1, len(b)), lambda i: b[i] = b[i + 1])) > 0 AS c5, len(b) < len(a) * 0.7 AS c6, len(b) > len(a) * 1.3 AS c7 FROM t""")
 def error_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, h = F.col("reference"), F.col("prediction")
-    names = {"c1": errors.punctuation_only, "c2": errors.number_mismatch, "c3": errors.loan_script, "c5": errors.repetition, "c6": errors.deletion, "c7": errors.insertion}
+    names = {"c1": errors.punctuation_only, "c2": errors.number_mismatch, "c3": errors.loan_script, "c4": errors.homophone, "c5": errors.repetition, "c6": errors.deletion, "c7": errors.insertion}
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", *[f(r, h).alias(k) for k, f in names.items()])
 
 
@@ -199,40 +168,6 @@ def number_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), numbers.normalize_numbers(line).alias("said"))
 
 
-def _word(key: str) -> Column:
-    return F.get(F.lit(WORDS), F.pmod(F.col(key), F.lit(len(WORDS))).cast("int"))
-
-
-_VALUES = ", ".join(f"({i}, '{w}', '{a}', '{b}', '{c}')" for i, (w, (a, b, c)) in enumerate(zip(WORDS, EXPECTED)))
-_KEYED = f"WITH v(i, word, spelling, confidence, method) AS (VALUES {_VALUES}), k AS (SELECT p_partkey, v.* FROM part JOIN v ON p_partkey % {len(WORDS)} = v.i)"
-
-
-@query(f"{_KEYED} SELECT spelling, confidence, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM k GROUP BY 1, 2")
-def spell_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words are classified once each and joined back to the rows that have them."""
-    rows = read(spark, sf_dir, "part").select(_word("p_partkey").alias("word"))
-    known = words_op.classify_list(rows, VOCABULARY)
-    n = rows.join(known, "word").groupBy("spelling", "confidence").agg(F.count("*").alias("n"))
-    return n.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0))), 6))
-
-
-@query(f"{_KEYED} SELECT p_partkey, method FROM k")
-def loan_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select("p_partkey", loanwords.loan_method(_word("p_partkey")).alias("method"))
-
-
-@query(f"{_KEYED} SELECT count(*) AS total_words, count(*) FILTER (WHERE method NOT IN ('none', 'empty')) AS english_words, round(count(*) FILTER (WHERE method NOT IN ('none', 'empty')) / count(*), 9) AS english_ratio FROM k")
-def loan_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = words_op.loan_density(read(spark, sf_dir, "part").select("p_partkey", _word("p_partkey").alias("text")), order="p_partkey")
-    return out.select("total_words", "english_words", F.round("english_ratio", 9).alias("english_ratio"))
-
-
-@query(f"{_KEYED} SELECT p_partkey, CASE WHEN method IN ('none', 'empty') THEN '(' || word || ') ' || word ELSE '([EN]' || word || '[/EN]) [EN]' || word || '[/EN]' END AS tagged FROM k WHERE word <> '।'")
-def loan_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _word("p_partkey")
-    return read(spark, sf_dir, "part").where(w != "।").select("p_partkey", loanwords.tag_loans(F.concat(F.lit("("), w, F.lit(")  "), w)).alias("tagged"))
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 5000 ORDER BY md5('42:' || c_custkey::VARCHAR), c_custkey LIMIT 50")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_op.seeded_sample(read(spark, sf_dir, "customer").where("c_acctbal < 5000").select("c_custkey", "c_name"), "c_custkey", 50)
@@ -258,26 +193,3 @@ def label_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, json_extract_string(props, '$.page') AS page FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "page string").page.alias("page"))
-
-
-@query()
-def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each category occurs among consecutive turns, true counts."""
-    rows = turn_pairs(spark, sf_dir).select(F.explode(errors.classify_error(F.col("reference"), F.col("prediction"))).alias("category"))
-    return rows.groupBy("category").agg(F.count("*").alias("n"))
-
-
-@query("""
-WITH v(model, standard_wer, lattice_wer, status) AS (VALUES ('A', 0.75, 0.25, '✓ Reduced'), ('B', 0.25, 0.0, '✓ Reduced'), ('C', 0.25, 0.0, '✓ Reduced'))
-SELECT model, standard_wer::DOUBLE AS standard_wer, lattice_wer::DOUBLE AS lattice_wer, status, (SELECT count(*) FROM nation) AS utterances FROM v""")
-def lattice_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One utterance with known rates, as many times as there are nations."""
-    said = {"Human": "उसने चौदह किताबें खरीदीं", "A": "उसने 14 पुस्तकें खरीदी", "B": "उसने चौदह किताबे खरीदीं", "C": "उसने चौदह किताबें खरीदी"}
-    wide = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("segment"), *[F.lit(v).alias(k) for k, v in said.items()])
-    return lattice.evaluate_models(wide).select("model", "standard_wer", "lattice_wer", "status", "utterances")
-
-
-@query(f"{_KEYED} SELECT p_partkey, spelling, confidence FROM k")
-def spelling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spelling.classify_word(_word("p_partkey"), VOCABULARY)
-    return read(spark, sf_dir, "part").select("p_partkey", c.alias("c")).select("p_partkey", "c.spelling", "c.confidence")

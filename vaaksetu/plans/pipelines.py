@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import CORE_VOCABULARY
 from ..functions.loanwords import tag_loans
 from ..functions.numbers import normalize_numbers
 from ..functions.text import clean_text
@@ -38,7 +39,7 @@ def cleanup_impact(pairs: DataFrame) -> DataFrame:
     return evaluation.cleanup_impact(pairs, {"raw": pred, "clean": clean_text(pred), "numbers": normalize_numbers(pred), "tags": tag_loans(pred), "both": cleanup(pred)})
 
 
-def spell_check(words: DataFrame, vocabulary: Iterable[str]) -> dict[str, DataFrame]:
+def spell_check(words: DataFrame, vocabulary: Iterable[str] = CORE_VOCABULARY) -> dict[str, DataFrame]:
     rows = spelling.classify_list(words, vocabulary)
     return {"words": rows, "classes": spelling.counts_by(rows, "spelling"), "confidence": spelling.confidence_counts(rows), "review": spelling.review_low_confidence(rows)}
 

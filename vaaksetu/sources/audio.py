@@ -16,10 +16,13 @@ from ..functions.text import clean_text
 RATE = 16_000
 
 
-def read_range(data: bytes, start: float, end: float, rate: int = RATE) -> np.ndarray | None:
-    """Samples of one channel, the mean of all, from `start` to `end` seconds; resampled linearly if the file has another rate. None if it can't be read."""
+def read_range(source: bytes | str, start: float, end: float, rate: int = RATE) -> np.ndarray | None:
+    """Samples of one channel, the mean of all, from `start` to `end` seconds; resampled linearly if the file has another rate. None if it can't be read.
+
+    source: a file's bytes, or its path or address, of which only the header and the range are read.
+    """
     try:
-        with wave.open(io.BytesIO(data)) as w:
+        with opened(source) as data, wave.open(data) as w:
             own, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
             first = int(start * own)
             w.setpos(first)
@@ -28,7 +31,7 @@ def read_range(data: bytes, start: float, end: float, rate: int = RATE) -> np.nd
         x = np.frombuffer(raw, kind).astype(np.float64)
         x = (x - 128) / 128 if width == 1 else x / float(1 << 8 * width - 1)
         x = x.reshape(-1, channels).mean(axis=1)
-    except (wave.Error, EOFError, KeyError, ValueError):
+    except (wave.Error, EOFError, KeyError, ValueError, OSError):
         return None
     if own != rate and len(x):
         n = int(len(x) * rate / own)
@@ -36,16 +39,26 @@ def read_range(data: bytes, start: float, end: float, rate: int = RATE) -> np.nd
     return x.astype(np.float32)
 
 
+def opened(source: bytes | str):
+    if isinstance(source, str):
+        from pyarrow import fs
+
+        where, path = fs.FileSystem.from_uri(source) if "://" in source else (fs.LocalFileSystem(), source)
+        return where.open_input_file(path)
+    return io.BytesIO(source)
+
+
 def read_audio(spark, folder: str) -> DataFrame:
     """(path, content) of the WAV files of a folder."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", "content")
 
 
-def build_dataset(manifest: DataFrame, files: DataFrame, rate: int = RATE, shortest: float = 0.5, longest: float = 30.0) -> DataFrame:
-    """audio struct<array,sampling_rate>, text, recording_id, duration; from a manifest and (audio_path, content).
+def build_dataset(manifest: DataFrame, files: DataFrame | None = None, rate: int = RATE, shortest: float = 0.5, longest: float = 30.0) -> DataFrame:
+    """audio struct<array,sampling_rate>, text, recording_id, duration; from a manifest.
 
-    Segments that can't be read, are too short or too long, or have no text once cleaned, fall out. A file's
-    bytes travel once to each of its segments' tasks; samples are cut there.
+    Segments that can't be read, are too short or too long, or have no text once cleaned, fall out. Without `files` each segment's range
+    is read from its audio_path, a path or address that all tasks can open: no file is read or moved whole. `files`, (audio_path, content), is for
+    short files that are a table already; their bytes travel to each of their segments.
     """
 
     @F.pandas_udf("array<float>")
@@ -53,7 +66,8 @@ def build_dataset(manifest: DataFrame, files: DataFrame, rate: int = RATE, short
         for content, start, end in batches:
             yield pd.Series([read_range(c, s, e, rate) for c, s, e in zip(content, start, end)], dtype=object)
 
-    rows = manifest.join(files, "audio_path").select(cut("content", "start", "end").alias("samples"), clean_text(F.col("text")).alias("text"), "recording_id")
+    rows = manifest.withColumn("content", F.col("audio_path")) if files is None else manifest.join(files, "audio_path")
+    rows = rows.select(cut("content", "start", "end").alias("samples"), clean_text(F.col("text")).alias("text"), "recording_id")
     n = F.size("samples")
     kept = rows.where(F.col("samples").isNotNull() & (n >= shortest * rate) & (n <= longest * rate) & (F.col("text") != ""))
     return kept.select(F.struct(F.col("samples").alias("array"), F.lit(rate).alias("sampling_rate")).alias("audio"), "text", F.col("recording_id").cast("long").alias("recording_id"), (F.size("samples") / rate).alias("duration"))

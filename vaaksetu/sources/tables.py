@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,9 +17,12 @@ RECORDINGS = "user_id BIGINT, recording_id BIGINT, language STRING, duration DOU
 PREDICTIONS = "index INT, reference STRING, pretrained_prediction STRING, finetuned_prediction STRING, pretrained_wer DOUBLE, finetuned_wer DOUBLE, wer_improvement DOUBLE"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV file with a header; every column is text unless a schema is given, types are never guessed. Quoted fields may hold line breaks; NA and null are words like others."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """A CSV file with a header; every column is text unless a schema is given, types are never guessed. NA and null are words like others.
+
+    Quoted fields may hold line breaks, for which a file must be read by one task; multi_line=False lets large files be split, where no field has any.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -35,7 +42,8 @@ def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """A folder of CSV files with headers; white space stays, empty texts come back as nulls."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -49,10 +57,23 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> Da
     return spark.read.parquet(path)
 
 
-def fetch_all(rows: DataFrame, fetch: Callable[[str, str], bool], url: str, dest: str, max_concurrent: int = 10) -> DataFrame:
+def download(url: str, dest: str, timeout: float = 60.0) -> bool:
+    """Copies what a URL gives to a file; what is already there is left alone. A part never stands at the destination."""
+    if os.path.exists(dest):
+        return True
+    with urllib.request.urlopen(url, timeout=timeout) as answer, open(f"{dest}.{uuid.uuid4().hex}", "wb") as out:  # noqa: S310  the caller's URLs
+        if (getattr(answer, "status", None) or 200) != 200:
+            return False
+        shutil.copyfileobj(answer, out)
+    os.replace(out.name, dest)
+    return True
+
+
+def fetch_all(rows: DataFrame, url: str, dest: str, fetch: Callable[[str, str], bool] = download, max_concurrent: int = 10) -> DataFrame:
     """rows with ok: whether fetch(url, destination) succeeded; an exception is a failure. At most max_concurrent tasks fetch at a time.
 
-    fetch decides how, and skips what is already there; the result is a column, so successes are a sum and failures a filter.
+    fetch decides how, and skips what is already there (destinations of the default one are in a file system that all tasks mount);
+    the result is a column, so successes are a sum and failures a filter.
     """
     at, to = rows.columns.index(url), rows.columns.index(dest)
 
