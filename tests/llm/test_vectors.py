@@ -149,3 +149,12 @@ def test_wide_vectors_displaced_towards_another_centroid(spark, monkeypatch):
     got = {r.id: (r.n_links, r.component) for r in embed_dedup.embedding_components(table(spark, list(zip(ids.tolist(), x.tolist())))).collect()}
     want = brute(ids, x)
     assert sum(n for n, _ in want.values()) >= 50 and got == want
+
+
+def test_every_dimension_is_searched(spark):
+    """Vectors are compared with those of their own dimension, however few there are; equal ones count by their ids."""
+    rows = list(zip(range(1, 201), made(5, 200).tolist())) + [(940, [1.0, 2.0]), (943, [1.5, 2.0]), (944, [0.0, 2.0]), (945, [1.5, 2.0]), (945, [1.5, 2.0]), (960, [3.0, 0.0, 1.0])]
+    got = {}
+    for r in ann.nearest(table(spark, rows), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got[940] == [(943, 0.5), (945, 0.5), (944, 1.0)] and 960 not in got and set(got) == {*range(20, 201, 20), 940}

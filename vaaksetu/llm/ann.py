@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stage
 from .vectors import matrix, valid
@@ -19,10 +21,10 @@ SUB = 2
 SAMPLE = 20_000
 #: Inner products from this share of the largest possible one count when errors are weighed.
 THRESHOLD = 0.2
-#: Candidates of a block that are reranked for each query.
-RERANK = 128
-#: Rows of a block of candidates and of queries.
-CAND_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Entries that are reranked for each query.
+RERANK = 512
+#: Rows of a block of candidates at most, and at least where that leaves tasks without work; rows of a block of queries.
+CAND_BLOCK, LEAST_BLOCK, QUERY_BLOCK = 65_536, 2048, 4096
 
 
 class Codes:
@@ -101,77 +103,83 @@ class Codes:
         return out
 
 
-def _search(codes: Codes, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, packed: list[bytes], k: int, rerank: int) -> pd.DataFrame:
-    """Each query's k nearest of a block. Equal vectors are scanned as one, which stands for its k + 1 smallest ids."""
+def _scan(codes: Codes, q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, halves: np.ndarray, packed: list[bytes], rerank: int) -> pd.DataFrame:
+    """The `rerank` coded vectors of a block that look nearest to each query, by inner product less half of the exact squared norm."""
     order = np.argsort(ids, kind="stable")
-    x, ids = x[order], ids[order]
-    _, first, group = np.unique(x, axis=0, return_index=True, return_inverse=True)
-    group = group.ravel()
-    by = np.lexsort((ids, group))
-    starts = np.searchsorted(group[by], np.arange(len(first)))
-    ends = np.append(starts[1:], len(by))
-    vectors, marks = x[first], codes.unpack([packed[order[i]] for i in first])
-    half = 0.5 * (vectors * vectors).sum(axis=1)
-    out: list[tuple[int, int, float]] = []
-    for i in range(0, len(q), 128):
-        near = codes.scan(q[i : i + 128], marks) - half
+    ids, halves, marks = ids[order], halves[order].astype(np.float32), codes.unpack([packed[i] for i in order])
+    out = []
+    for i in range(0, len(q), 64):
+        near = codes.scan(q[i : i + 64], marks) - halves
         best = np.argpartition(-near, rerank - 1, axis=1)[:, :rerank] if rerank < near.shape[1] else np.tile(np.arange(near.shape[1]), (len(near), 1))
-        for r, row in enumerate(best):
-            d = np.sqrt(((vectors[row] - q[i + r]) ** 2).sum(axis=1))
-            found: list[tuple[float, int]] = []
-            kth = np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)]
-            for j in np.flatnonzero(d <= kth):
-                g = row[j]
-                same = np.unique(ids[by[starts[g] : ends[g]]])[: k + 1]
-                found += [(float(d[j]), int(v)) for v in same if v != q_ids[i + r]]
-            out += [(int(q_ids[i + r]), v, s) for s, v in sorted(found)[:k]]
-    return pd.DataFrame(out, columns=["query_id", "id", "score"])
+        out.append(pd.DataFrame({"query_id": np.repeat(q_ids[i : i + 64], best.shape[1]), "rep": ids[best].ravel(), "near": np.take_along_axis(near, best, axis=1).ravel().astype(np.float64)}))
+    return pd.concat(out)
 
 
-def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, rerank: int = RERANK) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row where `queries` holds, the k nearest other rows by Euclidean distance, ties to the smaller id.
-
-    The nearest by distance have the largest q . x - |x|^2 / 2, so vectors are coded for inner products and the norm is added
-    exactly. Every row is coded; codewords are fitted on a bounded sample. Queries meet all rows in blocks: in each pair of
-    blocks a table scan over four-bit codes picks `rerank` distinct vectors a query, whose exact distances give the block's k
-    nearest, and a query's nearest of all blocks are ranked. Rows that take no part (see vectors.valid) or have another
-    dimension than most are neither queries nor candidates. A row isn't its own candidate, nor are rows with its id;
-    rows that repeat an id and a vector count once; a repeated query id is asked with its smallest vector.
-    """
-    rows = valid(df, id_col, vec_col)
-    asked = valid(df.where(queries), id_col, vec_col)
-    dims = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not dims:
-        return df.sparkSession.createDataFrame([], schema)
-    dim, n = dims[0].dim, dims[0]["count"]
-    rows, asked = rows.where(F.size("vec") == dim), asked.where(F.size("vec") == dim)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()
+def _nearest_of(index: DataFrame, asked: DataFrame, dim: int, n: int, rerank: int) -> DataFrame:
+    """(query_id, rep): for each query of a dimension the `rerank` vectors of the index that its codes place nearest."""
+    sample = index.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").toPandas()
     codes = Codes(dim).fit(matrix(sample["vec"]))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), 4096):
                 x = matrix(pdf["vec"].iloc[i : i + 4096])
-                yield pd.DataFrame({"id": pdf["id"].iloc[i : i + 4096].to_numpy(), "code": codes.pack(codes.encode(x)), "x": [v.tobytes() for v in x]})
+                yield pd.DataFrame({"id": pdf["rep"].iloc[i : i + 4096].to_numpy(), "half": 0.5 * (x * x).sum(axis=1), "data": codes.pack(codes.encode(x))})
 
-    asked = stage(asked.groupBy("id").agg(F.min("vec").alias("vec")), "queries")
-    coded = stage(rows.mapInPandas(encode, "id long, code binary, x binary"), "coded")
-    cb, qb = -(-n // CAND_BLOCK), max(1, -(-asked.count() // QUERY_BLOCK))
+    def as_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["query_id"], "data": [v.tobytes() for v in matrix(pdf["q"])] if len(pdf) else []})
+
+    coded = stage(index.select("rep", "vec").mapInPandas(encode, "id long, half double, data binary"), "coded")
+    tasks = index.sparkSession.sparkContext.defaultParallelism
+    cb = max(-(-n // CAND_BLOCK), min(-(-n // LEAST_BLOCK), tasks))
+    qb = max(1, -(-asked.count() // QUERY_BLOCK))
     block = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     upto = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = coded.select("id", "code", "x", block(cb).alias("c"), upto(qb).alias("q"))
-    as_bytes = asked.mapInPandas(lambda it: (pd.DataFrame({"id": p["id"], "x": [v.tobytes() for v in matrix(p["vec"])] if len(p) else []}) for p in it), "id long, x binary")
-    right = as_bytes.select("id", F.lit(None).cast("binary").alias("code"), "x", upto(cb).alias("c"), block(qb).alias("q"))
+    left = coded.select("id", "half", "data", block(cb).alias("c"), upto(qb).alias("q"))
+    right = asked.mapInPandas(as_bytes, "id long, data binary").select("id", F.lit(None).cast("double").alias("half"), "data", upto(cb).alias("c"), block(qb).alias("q"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        query = pdf["code"].isna().to_numpy()
+        query = pdf["half"].isna().to_numpy()
         a, b = pdf[query], pdf[~query]
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": np.array([], "int64"), "id": np.array([], "int64"), "score": np.array([], "float64")})
-        x = lambda p: np.frombuffer(b"".join(p["x"]), np.float64).reshape(len(p), dim)
-        return _search(codes, x(a), a["id"].to_numpy(), x(b), b["id"].to_numpy(), list(b["code"]), k, rerank)
+            return pd.DataFrame({"query_id": np.array([], "int64"), "rep": np.array([], "int64"), "near": np.array([], "float64")})
+        return _scan(codes, np.frombuffer(b"".join(a["data"]), np.float64).reshape(len(a), dim), a["id"].to_numpy(), b["id"].to_numpy(), b["half"].to_numpy(), list(b["data"]), rerank)
+
+    found = left.unionByName(right).groupBy("c", "q").applyInPandas(search, "query_id long, rep long, near double")
+    best = found.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "rep"))).where(F.col("r") <= rerank)
+    return best.select("query_id", "rep")
 
-    found = left.unionByName(right).groupBy("c", "q").applyInPandas(search, "query_id long, id long, score double")
+
+@F.pandas_udf(T.DoubleType())
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([float(np.sqrt(((np.asarray(x, np.float64) - np.asarray(y, np.float64)) ** 2).sum())) for x, y in zip(a, b)], dtype="float64")
+
+
+def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, rerank: int = RERANK) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row where `queries` holds, the k nearest other rows by Euclidean distance, ties to the smaller id.
+
+    The nearest by distance have the largest q . x - |x|^2 / 2, so vectors are coded for inner products and the norm is added
+    exactly. Equal vectors are one entry of the index, with the k + 1 smallest ids that have them. Every entry is coded; codewords are
+    fitted on a bounded sample, for each dimension that vectors have. Queries meet all entries of their dimension in blocks, of which only four-bit codes
+    travel: a table scan picks `rerank` entries a query, and these alone are joined with their vectors for exact distances. Rows that take no part (see vectors.valid)
+    are neither queries nor candidates. A row isn't its own candidate, nor are rows with its id; rows that repeat an id and a vector count
+    once; a repeated query id is asked with its smallest vector. An empty table gives an empty one.
+    """
+    spark = df.sparkSession
+    rows = valid(df, id_col, vec_col)
+    same = W.partitionBy("vec").orderBy("id")
+    index = rows.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    index = stage(index.select(F.get("ids", F.lit(0)).alias("rep"), "ids", "vec", F.size("vec").alias("dim")), "index")
+    asked = stage(valid(df.where(queries), id_col, vec_col).groupBy("id").agg(F.min("vec").alias("q")).select(F.col("id").alias("query_id"), "q", F.size("q").alias("dim")), "queries")
+    dims = index.groupBy("dim").agg(F.count("*").alias("n")).join(asked.select("dim").distinct(), "dim").orderBy("dim").collect()
+    schema = "query_id long, rank int, vec_id long, score double"
+    if not dims:
+        return spark.createDataFrame([], schema)
+    short = reduce(DataFrame.union, [_nearest_of(index.where(F.col("dim") == d.dim), asked.where(F.col("dim") == d.dim), d.dim, d.n, rerank).withColumn("dim", F.lit(d.dim)) for d in dims])
+    # One id may have vectors of several dimensions, or several of one: an entry is found by its dimension too.
+    pairs = short.join(index, ["rep", "dim"]).join(asked.select("query_id", "q", "dim"), ["query_id", "dim"])
+    found = pairs.select("query_id", "ids", _distance("q", "vec").alias("score")).select("query_id", "score", F.explode("ids").alias("id")).where("id <> query_id")
+    found = found.groupBy("query_id", "id").agg(F.min("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
