@@ -2,18 +2,23 @@ import re
 
 import corpus_pipeline as cp
 from vaaksetu.llm import mixing, pieces, secrets
-from vaaksetu.llm.simhash import fingerprint
 
 from .test_secrets import plain
 from .test_simhash import brute_components
 
 
+def five_words(text):
+    """The set of five-word shingles of a text, a shorter text being one."""
+    words = re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text).strip("\x20\x09\x0a\x0b\x0c\x0d"))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def brute(docs):
     """Doc ids and texts after each stage, the mixture apart."""
     known = [d for d in docs if d.text and any(c.isalpha() for c in d.text)]
     known.sort(key=lambda d: d.doc_id)
-    fps = [fingerprint(d.text, 3) for d in known]
-    comp = brute_components(len(known), lambda i, j: ((fps[i] ^ fps[j]) % 2**64).bit_count() <= 3)
+    sets = [five_words(d.text) for d in known]
+    comp = brute_components(len(known), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     first = [d for i, d in enumerate(known) if comp[i] == i]
     out = {}
     for d in first:

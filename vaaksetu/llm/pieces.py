@@ -24,7 +24,7 @@ UNIGRAM, BPE = 1, 2
 #: Characters encoded at a time: bounds a task's memory whatever the texts' lengths. A longer text is a batch of its own.
 BATCH_CHARS = 1 << 19
 #: Distinct spans that a worker remembers; the memory is emptied when it is full, which changes no result.
-REMEMBER = 250_000
+REMEMBER = 600_000
 #: New spans that are encoded in a row.
 JOIN = 2000
 
@@ -128,7 +128,8 @@ class Pieces:
     Other models get whole texts.
     """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, remember: int = REMEMBER):
+        self.remember = remember
         self.whole = build(data)
         m = parse_model(data)
         self.simple = m["dummy_prefix"] and m["escape"] and not m["trim"] and not m["charsmap"]
@@ -187,7 +188,7 @@ class Pieces:
                 ids += [np.array(x, np.int32) for x in got]
                 back += self.whole.decode_batch(got, skip_special_tokens=False)
                 continue
-            if len(self.known) > REMEMBER:
+            if len(self.known) > self.remember:
                 self.known.clear()
                 self.odd.clear()
             known, odd = self.known, self.odd
@@ -205,9 +206,9 @@ class Pieces:
 
 
 @lru_cache(maxsize=1)
-def loaded(data: bytes) -> Pieces:
+def loaded(data: bytes, remember: int = REMEMBER) -> Pieces:
     """Pieces of a model, once in a worker: its later tasks find the model built and spans known."""
-    return Pieces(data)
+    return Pieces(data, remember)
 
 
 def batches_of(texts: Iterable[str]) -> Iterator[list[str]]:
@@ -222,12 +223,13 @@ def batches_of(texts: Iterable[str]) -> Iterator[list[str]]:
         yield out
 
 
-def encode_pieces(docs: DataFrame, text_col: str = "text", model: str = MODEL, verify: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, text_col: str = "text", model: str = MODEL, verify: bool = False, remember: int = REMEMBER) -> DataFrame:
     """docs with piece_ids array<int> of the whole text, decoded (whether decoding them gives the text back) and,
     if `verify`, parity (whether the sentencepiece library gives the same ids for the whole text); columns with these names are replaced.
 
     Null and empty texts have no pieces and decode to the empty text. Batches are encoded by the library's own threads and
     handed on in parts of BATCH_CHARS, so memory is bounded whatever Spark's batches hold.
+    `remember` bounds the distinct spans that a worker keeps, which changes its time and memory, no result. Null ids and repeated rows pass through; an empty table gives an empty one.
     The model's bytes, a fixed-size file, are read once on the driver, at a path that is a parameter.
     """
     with open(model, "rb") as f:
@@ -238,7 +240,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", model: str = MODEL, v
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", "4")
-        pieces, same = loaded(data), None
+        pieces, same = loaded(data, remember), None
         if verify:
             import sentencepiece
 
