@@ -104,7 +104,9 @@ def test_null_is_null(spark, word):
 
 # Published words of low confidence, the class after the word where it isn't "incorrect".
 REVIEWED = """
-कहलो कैराम माध्यम। वोकेलबरी सॉल्टी मैलापन=correct मेरी-मेरी
+कहलो कैराम माध्यम। वोकेलबरी सॉल्टी मैलापन=correct मेरी-मेरी सब्र ओटीटी वोहा व्यक्तिकत लगाई। मेंलेवर अनुभुवो हैयह वैकेनिक अक्वार्ड बटकाता=correct एक्सटिमेंट दयत
+सबकार एब्जॉर्ब लिंक्ड सुधारते=correct पकेरा निरस्ट प्रशिक्ता=correct पावंदिया=correct न्यूनियन चरली=correct आँछी इंसिस्ट नमियों=correct समरम करोड़ी काहो इंग्लेंड बोर्च
+पेरेन्टस आदमिनिट एलोबोरेट पीकाचू उजाकर=correct बेवी रहुंगी=correct चीचीजों=correct रिखान एक्सवल
 """
 
 
@@ -122,3 +124,13 @@ def test_composition_is_for_texts_that_need_it(spark):
     texts = ["".join(rng.choice(some) for _ in range(rng.randrange(8))) for _ in range(300)]
     plain = [" ".join("".join(c if "\u0900" <= c <= "\u097f" or c in " \t\n" or (c.isascii() and c.isalnum()) else " " for c in unicodedata.normalize("NFC", t)).split()) for t in texts]
     assert apply(spark, text.clean_text, texts) == plain
+
+
+def test_core_vocabulary(spark):
+    """The core vocabulary's size is a fixed value; its words are right, and forms with known endings are derived from it."""
+    from vaaksetu.functions.lexicon import CORE_VOCABULARY
+
+    assert len(CORE_VOCABULARY) == len(set(CORE_VOCABULARY)) == 271
+    got = apply(spark, spelling.classify_word, [*CORE_VOCABULARY, "लोगवाला", "अनबात", "ज़्यादा"])
+    assert {(g.spelling, g.confidence) for g in got[:271]} == {("correct", "high")}
+    assert [g.confidence for g in got[271:]] == ["medium", "medium", "high"]
