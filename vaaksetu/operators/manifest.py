@@ -62,11 +62,10 @@ def manifest_summary(manifest: DataFrame) -> DataFrame:
 def exact_quantiles(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """One row with the exact quantiles (linear between neighbours) of a column, nulls left out, null where there are no values.
 
-    No task holds all values: they are counted one by one first, and only running counts of the distinct ones are ordered; ranges of values,
-    dealt by a global sort, are summed before that, so that ordering is spread too.
+    Values are counted one by one, then by buckets, 64 for each doubling, whose running counts show which buckets the quantiles lie in; buckets
+    number some 140,000 at most. Only the distinct values of those few buckets are put in order, each bucket by one task, which spills if need be.
     """
     v = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    # The leading bits of a value in the order of doubles: buckets whose running counts tell where a quantile lies.
     bits = F.round(F.log2(1 + F.abs("v")) * 64).cast("long") * F.signum("v").cast("long")
     v = v.withColumn("b", bits)
     sums = v.groupBy("b").agg(F.sum("n").alias("m"))
