@@ -106,7 +106,7 @@ def test_null_is_null(spark, word):
 REVIEWED = """
 कहलो कैराम माध्यम। वोकेलबरी सॉल्टी मैलापन=correct मेरी-मेरी सब्र ओटीटी वोहा व्यक्तिकत लगाई। मेंलेवर अनुभुवो हैयह वैकेनिक अक्वार्ड बटकाता=correct एक्सटिमेंट दयत
 सबकार एब्जॉर्ब लिंक्ड सुधारते=correct पकेरा निरस्ट प्रशिक्ता=correct पावंदिया=correct न्यूनियन चरली=correct आँछी इंसिस्ट नमियों=correct समरम करोड़ी काहो इंग्लेंड बोर्च
-पेरेन्टस आदमिनिट एलोबोरेट पीकाचू उजाकर=correct बेवी रहुंगी=correct चीचीजों=correct रिखान एक्सवल
+पेरेन्टस आदमिनिट एलोबोरेट पीकाचू उजाकर=correct बेवी रहुंगी=correct चीचीजों=correct रिखान एक्सवल बन, बुलाती,
 """
 
 
