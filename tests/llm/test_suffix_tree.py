@@ -16,57 +16,55 @@ tokens_of = lambda t: [*words_of(t), st.END]
 class Plain:
     """The model from its definition, with tuples of tokens for contexts."""
 
-    def __init__(self, texts, share, least):
+    def __init__(self, texts, least=st.LEAST, depth=st.DEPTH):
         self.counts = counts = Counter(w for t in texts for w in t)
-        self.n = sum(counts.values())
-        self.floor = floor = max(least, share * self.n)
-        self.told = {w for w, k in counts.items() if k >= floor / 4}
-        nexts = defaultdict(Counter)
+        self.n, self.depth = sum(counts.values()), depth
+        self.nexts = nexts = defaultdict(Counter)
         for t in texts:
-            t = [w if w in self.told else None for w in t]
             for i in range(len(t)):
-                for d in range(st.DEPTH + 1):
-                    if i >= d:
-                        nexts[tuple(t[i - d : i])][t[i]] += 1
-        self.nexts, self.kept = nexts, {()}
-        for c, q in nexts.items():
+                for d in range(min(i, depth) + 1):
+                    nexts[tuple(t[i - d : i])][t[i]] += 1
+        self.kept, counted = {()}, {()}
+        for c in sorted(nexts, key=len):
+            q = nexts[c]
             n = sum(q.values())
-            if c and None not in c and n >= floor:
+            if c and n >= least and c[1:] in self.kept and c[:-1] in counted:
+                counted.add(c)
                 up = nexts[c[1:]]
                 gain = sum(k * math.log(k / n / (up[a] / sum(up.values()))) for a, k in q.items())
                 if gain >= len(q) * math.log(n) / 2:
-                    self.kept |= {c, c[1:]}
+                    self.kept.add(c)
         once = sum(k == 1 for k in counts.values())
         self.unseen = min(0.5, max(once, 1) / (self.n + 1))
 
     def p(self, past, a):
         out = (1 - self.unseen) * self.counts[a] / self.n if self.counts[a] else self.unseen
-        past = [w if w in self.told else None for w in past]
-        for d in range(1, min(st.DEPTH, len(past)) + 1):
+        for d in range(1, min(self.depth, len(past)) + 1):
             c = tuple(past[-d:])
             if c not in self.kept:
                 break
             q = self.nexts[c]
-            stored = {x: k for x, k in q.items() if x is not None and k >= self.floor / 4}
-            scale = sum(q.values()) + len(q)
-            out = stored.get(a, 0) / scale + (scale - sum(stored.values())) / scale * out
+            out = (q[a] + len(q) * out) / (sum(q.values()) + len(q))
         return out
 
     def score(self, t):
-        return sum(math.log10(self.p(t[max(0, i - st.DEPTH) : i], t[i])) for i in range(len(t)))
+        return sum(math.log10(self.p(t[max(0, i - self.depth) : i], t[i])) for i in range(len(t)))
 
 
-@pytest.mark.parametrize("flush", [4_000_000, 300])
-def test_against_definition(spark, monkeypatch, flush):
-    monkeypatch.setattr(st, "_FLUSH", flush)
+@pytest.mark.parametrize("hot, tokens", [(100_000, 2_000_000), (20, 2_000), (1, 500)])
+def test_against_definition(spark, monkeypatch, hot, tokens):
+    monkeypatch.setattr(st, "HOT_LEAST", hot)
+    monkeypatch.setattr(st, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(st, "BUCKET_TOKENS", tokens)
     src = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()
     rows = [(r.doc_id, r.text[:800]) for r in src] + [(None, None), (5001, ""), (5002, "A\0b \x0b z"), (src[0].doc_id, src[0].text[:800]), (5003, "y" * 30_000)]
     rows += [(6000 + i, "one fish two fish red fish blue fish one fish two") for i in range(30)]
+    rows += [(7000 + i, "the cat sat on mats" if i % 2 else "a dog sat on logs") for i in range(60)]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, word string, n int")
     got = st.score_documents(docs).collect()
     assert len(got) == len(rows)
-    plain = Plain([tokens_of(t) for i, t in rows if not held(i)], st.SHARE, st.LEAST)
-    assert len(plain.kept) > 8 and max(map(len, plain.kept)) == 2
+    plain = Plain([tokens_of(t) for i, t in rows if not held(i)])
+    assert len(plain.kept) > 8 and max(map(len, plain.kept)) == st.DEPTH
     texts = dict(rows)
     for r in got:
         words = tokens_of(texts[r.doc_id])

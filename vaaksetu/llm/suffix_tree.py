@@ -5,28 +5,28 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, words_of
+from .common import stage, unstage, words_of
 
 #: The token that ends a text. No word holds its byte.
 END = b"\n"
-#: Longest context in tokens: with the next token it fills a key of three numbers of BITS bits.
-DEPTH, BITS = 2, 21
-#: A context occurs in at least this share of all training tokens, and at least LEAST times; a next token is told apart from
-#: 'other' ones if it has a quarter of that. Contexts of one length don't overlap in place, so the tree has DEPTH / SHARE
-#: contexts and 4 * DEPTH / SHARE entries, and tokens told apart number 4 / SHARE, at the very most and whatever the corpus: that
-#: is what makes them safe to broadcast.
-SHARE, LEAST = 2e-6, 8
+#: Longest context in tokens.
+DEPTH = 3
+#: Times that a context occurs in training before it is tested, whatever the corpus.
+LEAST = 8
 #: Tokens and distinct tokens after which a task starts a new block.
-BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 1_000_000
-#: Distinct keys that a task sums before it hands them on.
-_FLUSH = 4_000_000
-_LOW = np.int64((1 << BITS) - 1)
+BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 1_000_000
+#: Training tokens for each bucket that counts are summed in.
+BUCKET_TOKENS = 2_000_000
+#: A context with at least this share of all training tokens, and at least HOT_LEAST of them, is hot: its next tokens are dealt over
+#: all buckets. Contexts of one length don't overlap in place, so at most 1 / HOT of a length are hot, whatever the corpus.
+HOT, HOT_LEAST = 1e-5, 100_000
 
 
 class _Block(dict):
@@ -91,197 +91,202 @@ def _encode(folds: int, fold: int):
     return encode
 
 
-def _sum_by_key(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.array([], np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ b * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(32)
 
 
-def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of wanted keys in a sorted table, and which of them are there."""
-    if not len(table):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-    return at, table[at] == wanted
-
-
-def _before(f: np.ndarray, k: int) -> np.ndarray:
-    """The symbol k places earlier, 0 before the text's beginning."""
+def _earlier(f: np.ndarray, k: int) -> np.ndarray:
+    """The value k places earlier, 0 where there is none."""
     out = np.zeros_like(f)
     if k < len(f):
         out[k:] = f[:-k]
     return out
 
 
-class Tree:
-    """The retained contexts with their totals, and their next tokens, as sorted arrays.
+#: What a block asks a bucket: contexts with the number of their keys and their share of the gain; keys (context and next token) with their training counts.
+_ASKED = "block long, depth int, bucket int, hot boolean, contexts binary, runs binary, gains binary, keys binary, n binary"
+#: The answer, in the order of the question; or, for hot contexts, the bucket's part of their kinds and gain.
+_ANSWERED = "block long, depth int, bucket int, hot boolean, a binary, b binary, c binary, hot_context long, hot_kinds long, hot_gain double"
 
-    symbol: the number of each token that is told apart, from 1 in order of frequency; 0 stands for all others.
-    A context's number has the nearest token in its low bits; a key has the next token below its context.
-    """
 
-    def __init__(self, symbol: dict[bytes, int], contexts: np.ndarray, totals: np.ndarray, kinds: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        self.symbol = symbol
-        by = np.argsort(contexts)
-        self.contexts, totals, kinds = contexts[by], totals[by].astype(float), kinds[by].astype(float)
-        by = np.argsort(keys)
-        self.keys, self.counts = keys[by], counts[by].astype(float)
-        stored = np.zeros(len(self.contexts))
-        if len(self.keys):
-            np.add.at(stored, np.searchsorted(self.contexts, self.keys >> BITS), self.counts)
-        # What a context leaves to its suffix: as much as it has kinds of next token, and what isn't stored.
-        self.scale = totals + kinds
-        self.back = (self.scale - stored) / self.scale
-
-    def probabilities(self, f: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Of each token of a text after the longest suffix of its past that is in the tree; f: symbols, p: what the root gives.
-
-        Along the path from the root each state mixes its own counts with its suffix's distribution, by Witten and
-        Bell's weights, so every distribution is proper and no token has probability zero.
-        """
-        context, alive = np.zeros_like(f), np.ones(len(f), bool)
-        for d in range(1, DEPTH + 1):
-            prev = _before(f, d)
-            context = context | prev << BITS * (d - 1)
-            at, known = _find(self.contexts, context)
-            alive = alive & known & (prev > 0)
-            if not alive.any():
-                break
-            e, hit = _find(self.keys, f | context << BITS)
-            own = np.where(hit & (f > 0), self.counts[e] if len(self.counts) else 0.0, 0.0)
-            p = np.where(alive, own / self.scale[at] + self.back[at] * p, p)
-        return p
-
-
-def _count(symbol, eligible: int, longer=None):
-    """Counts (context, next) keys of whole texts: contexts of one token up to number `eligible`, or the contexts of two in `longer`."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, end = symbol.value.get, symbol.value.get(END, 0)
-        keys, n, waiting, size = np.array([], np.int64), np.array([], np.int64), [], 0
-
-        def settle() -> None:
-            nonlocal keys, n, waiting, size
-            new = np.concatenate(waiting) if waiting else np.array([], np.int64)
-            new, c = _sum_by_key(new, np.ones(len(new), np.int64))
-            keys, n = _sum_by_key(np.concatenate([keys, new]), np.concatenate([n, c]))
-            waiting, size = [], 0
+class _Path:
+    """The contexts at each place of a block's texts, from the root on, a token longer at each step.
 
-        for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                f = np.array([*(get(w, 0) for w in words), end], np.int64)
-                one = _before(f, 1)
-                if longer is None:
-                    ok = (one > 0) & (one <= eligible)
-                    key = f | one << BITS
-                else:
-                    two = one | _before(f, 2) << BITS
-                    ok = _find(longer.value, two)[1]
-                    key = f | two << BITS
-                waiting.append(key[ok])
-                size += int(ok.sum())
-                if size > _FLUSH:
-                    settle()
-                if len(keys) > _FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-                    keys, n = keys[:0], n[:0]
-        settle()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
-
-    return count
-
-
-def train_tree(texts: DataFrame, words: DataFrame, share: float = SHARE, least: int = LEAST) -> Tree:
-    """A tree from all whole training texts (one column) and (word, n): distinct tokens and how often each occurs in them.
-
-    Contexts grow by length: one of two tokens can only be frequent if its tokens are, so each pass counts just the contexts
-    that can still qualify, over the whole corpus. A context that is frequent enough is retained if the log-likelihood that
-    its own distribution gains over its suffix's, n times their divergence, exceeds half of log n for each kind
-    of next token (those not told apart are one kind); with it, its suffix is.
+    A context is known by a hash of 64 bits. It is counted if it occurs LEAST times in training, its suffix is retained and,
+    beyond one token, what precedes its last token is counted; so how often it occurs is always known already from the step before.
     """
-    spark = texts.sparkSession
-    total = words.agg(F.sum("n")).first()[0] or 0
-    floor = max(least, share * total)
-    often = words.where((F.col("n") >= floor / 4) & (F.col("n") > 0)).select("word", "n").toPandas()
-    often = sorted(zip((w.encode("utf-8", "surrogatepass") for w in often["word"]), often["n"].tolist()), key=lambda x: (-x[1], x[0]))
-    symbol = {w: i for i, (w, _) in enumerate(often, 1)}
-    eligible = sum(n >= floor for _, n in often)
-    shared = spark.sparkContext.broadcast(symbol)
-    tally = lambda **how: texts.mapInArrow(_count(shared, eligible, **how), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    pairs = stage(tally(), "pairs")
-    nxt = F.col("key").bitwiseAND(F.lit(int(_LOW)))
-    fit = pairs.where((F.col("n") >= floor) & (nxt > 0) & (nxt <= eligible) & (nxt != symbol.get(END, 0))).select("key").toPandas()
-    longer = spark.sparkContext.broadcast(np.sort(fit["key"].to_numpy(np.int64)))
-    triples = stage(tally(longer=longer), "triples")
-    # Symbols' own counts number 4 / SHARE at most and retained contexts DEPTH / SHARE, so both may be broadcast.
-    roots = spark.createDataFrame([(0, total - sum(n for _, n in often)), *[(symbol[w], n) for w, n in often]], "s long, s_n long")
-    of = lambda name: F.broadcast(roots.select(F.col("s").alias(name), F.col("s_n").alias(f"{name}_n")))
-    ratio = lambda up_n, up_total: F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col(up_n) / up_total))
-    sums = [F.sum("n").alias("total"), F.count("*").alias("kinds")]
-    one = pairs.select(F.shiftright("key", BITS).alias("context"), nxt.alias("next"), "n")
-    ones = stage(one.groupBy("context").agg(*sums), "contexts")
-    gain = one.join(of("context"), "context").withColumnRenamed("context_n", "total").join(of("next"), "next").groupBy("context").agg(F.sum(ratio("next_n", F.lit(max(1, total)))).alias("gain"))
-    two = triples.select(F.shiftright("key", BITS).alias("context"), F.col("key").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("up"), "n")
-    twos = stage(two.groupBy("context").agg(*sums), "contexts")
-    low = F.col("context").bitwiseAND(F.lit(int(_LOW)))
-    longest = two.join(F.broadcast(twos), "context").join(pairs.select(F.col("key").alias("up"), F.col("n").alias("up_n")), "up").withColumn("last", low).join(of("last"), "last")
-    gain = gain.unionByName(longest.groupBy("context").agg(F.sum(ratio("up_n", F.col("last_n"))).alias("gain")))
-    contexts = ones.unionByName(twos)
-    kept = contexts.join(gain, "context").where(F.col("gain") >= F.col("kinds") * F.log("total") / 2).select("context")
-    kept = F.broadcast(stage(kept.union(kept.where(F.col("context") >= 1 << BITS).select(low)).distinct(), "kept"))
-    s = contexts.join(kept, "context", "left_semi").toPandas()
-    named = pairs.union(triples).where((F.col("n") >= floor / 4) & (nxt > 0)).withColumn("context", F.shiftright("key", BITS))
-    e = named.join(kept, "context", "left_semi").select("key", "n").toPandas()
-    ints = lambda x: x.to_numpy(np.int64)
-    return Tree(symbol, ints(s["context"]), ints(s["total"]), ints(s["kinds"]), ints(e["key"]), ints(e["n"]))
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
+
+    def __init__(self, codes: list[np.ndarray], train: list[bool], h: np.ndarray, c: np.ndarray, total: int, buckets: int, least: int):
+        self.sizes = np.array([len(x) for x in codes])
+        code = np.concatenate(codes)
+        self.h, self.count = h[code], c[code]
+        self.place = np.arange(len(code)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.train = np.repeat(np.array(train, float), self.sizes)
+        self.context, self.total = np.zeros(len(code), np.uint64), np.full(len(code), total, np.int64)
+        self.retained, self.buckets, self.least, self.depth = np.ones(len(code), bool), buckets, least, 0
+        self.hot = max(HOT * total, HOT_LEAST)
+
+    def grow(self) -> None:
+        """Contexts longer by a token, and their keys in the order of buckets and contexts, the same in each round."""
+        self.depth += 1
+        ok = self.retained & (self.place >= self.depth)
+        total = np.where(ok, _earlier(self.count, 1), 0)
+        self.at = at = np.flatnonzero(total >= self.least)
+        self.context = _mix(self.context, _earlier(self.h, self.depth))
+        key, first, inverse = np.unique(_mix(self.context[at], self.h[at]), return_index=True, return_inverse=True)
+        one, n = at[first], np.bincount(inverse, self.train[at], len(key)).astype(np.int64)
+        context, times = self.context[one], total[one]
+        hot = times >= self.hot
+        chunk = (np.where(hot, key, context) % np.uint64(self.buckets)).astype(np.int64) + hot * self.buckets
+        by = np.lexsort((context, chunk))
+        self.key, self.n, self.chunk, context = key[by], n[by], chunk[by], context[by]
+        self.sorted = np.empty(len(by), np.int64)
+        self.sorted[by] = np.arange(len(by))
+        self.sorted = self.sorted[inverse]
+        self.times = times[by]
+        # A key's part of the gain but for the logarithm of its own count.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(self.n > 0, self.n * np.log(self.total[one][by] / (self.count[one][by] * self.times.astype(float))), 0.0)
+        edge = np.ones(len(by), bool)
+        edge[1:] = (context[1:] != context[:-1]) | (self.chunk[1:] != self.chunk[:-1])
+        self.start = np.flatnonzero(edge)
+        self.contexts, self.runs = context[self.start], np.diff(np.append(self.start, len(by)))
+        self.gains = np.add.reduceat(gain, self.start) if len(by) else gain
+        self.total = total
+
+    def slices(self) -> Iterator[tuple[int, slice, slice]]:
+        """(chunk, its keys, its contexts)."""
+        chunks, first = np.unique(self.chunk, return_index=True)
+        for c, lo, hi in zip(chunks.tolist(), first.tolist(), [*first.tolist()[1:], len(self.chunk)]):
+            yield c, slice(lo, hi), slice(*np.searchsorted(self.start, [lo, hi]).tolist())
+
+    def settle(self, answers: dict[int, tuple], hot: tuple) -> None:
+        """Takes the answers on this length in: what is retained, and how often each key occurs."""
+        n, kinds, gain = np.zeros(len(self.key), np.int64), np.zeros(len(self.start), np.int64), np.zeros(len(self.start))
+        for chunk, keys, contexts in self.slices():
+            a, b, c = answers[chunk]
+            n[keys] = np.frombuffer(a, np.int64)
+            if chunk < self.buckets:
+                kinds[contexts], gain[contexts] = np.frombuffer(b, np.int64), np.frombuffer(c, np.float64)
+            else:
+                i = np.searchsorted(hot[0], self.contexts[contexts])
+                kinds[contexts], gain[contexts] = hot[1][i], hot[2][i]
+        passed = gain >= kinds * np.log(np.maximum(1, self.times[self.start])) / 2
+        of = np.repeat(np.arange(len(self.start)), self.runs)[self.sorted]
+        self.count, self.retained, self.kinds = np.zeros_like(self.total), np.zeros(len(self.total), bool), np.zeros(len(self.total), np.int64)
+        self.count[self.at], self.retained[self.at], self.kinds[self.at] = n[self.sorted], passed[of], kinds[of]
+
+
+def _sum_bucket(table: pa.Table) -> pa.Table:
+    """Counts of a bucket's keys over all blocks, and kinds and gains of its contexts, as answers to each block."""
+    got = {name: table.column(name).to_pylist() for name in table.column_names}
+    numbers = lambda name, kind: [np.frombuffer(x, kind) for x in got[name]]
+    contexts, runs, gains, keys, n = numbers("contexts", np.uint64), numbers("runs", np.int32), numbers("gains", np.float64), numbers("keys", np.uint64), numbers("n", np.int32)
+    every, of = np.unique(np.concatenate(contexts), return_inverse=True)
+    key, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    count = np.bincount(inverse, np.concatenate(n), len(key)).astype(np.int64)
+    context = np.repeat(of, np.concatenate(runs))[first]
+    kinds = np.bincount(context, count > 0, len(every)).astype(np.int64)
+    gain = np.bincount(of, np.concatenate(gains), len(every)) + np.bincount(context, count * np.log(np.maximum(1, count)), len(every))
+    count, out, hot, i, j = count[inverse], [], set(), 0, 0
+    for block, is_hot, c, k in zip(got["block"], got["hot"], contexts, keys):
+        mine, i, j = of[i : i + len(c)], i + len(c), j + len(k)
+        kinds_gain = (None, None) if is_hot else (kinds[mine].tobytes(), gain[mine].tobytes())
+        out.append((block, got["depth"][0], got["bucket"][0], is_hot, count[j - len(k) : j].tobytes(), *kinds_gain, None, None, None))
+        if is_hot:
+            hot.update(mine.tolist())
+    for c in sorted(hot):
+        out.append((None, got["depth"][0], None, True, None, None, None, int(every[c : c + 1].view(np.int64)[0]), int(kinds[c]), float(gain[c])))
+    kinds_ = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*out), kinds_)], names=[x.split()[0] for x in _ANSWERED.split(", ")])
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row, learned from the rows that aren't held out.
 
     The model's symbols are the tokens seen in training and one that stands for all unseen ones. Its root gives the unseen one
-    as much as tokens seen once have (Good and Turing), and shares the rest by count.
+    as much as tokens seen once have (Good and Turing), and shares the rest by count. A context of up to `depth` tokens that occurs
+    `least` times or more is retained if its suffix is and the log-likelihood that its own distribution gains over its suffix's, n times their
+    divergence, is half of log n at least for each kind of next token. Along the path from the root each retained state mixes its counts with its
+    suffix's distribution by Witten and Bell's weights, so every distribution is proper and no token has probability zero.
 
     Texts become numbers within blocks of a few million tokens, once; a block's list of distinct tokens asks a table of all
-    tokens, partitioned by token, for their counts, and the answers come back to the block. So neither a text nor
-    the vocabulary is ever held by one task or broadcast: only the tree is, whose size has a fixed bound. Null and empty
-    texts are the end token alone; a null id counts as empty text when folds are dealt; repeated rows count each time.
+    tokens, partitioned by token, for their counts, and the answers come back to the block. Then, a context length at a time, each block
+    sends its distinct (context, next token) with their counts to buckets, packed in arrays; a bucket sums them over all blocks and answers
+    each block in its own order. So the tree grows with the corpus in a table that is never held by one task nor broadcast.
+    Only hot contexts are, whose keys lie in all buckets and whose number has a fixed bound.
+
+    Null and empty texts are the end token alone; a null id counts as empty text when folds are dealt; repeated rows count each
+    time; an empty table has no scores. Two contexts whose hashes of 64 bits agree would be taken for one.
     """
+    spark = docs.sparkSession
     id_, text = F.col(id_col).cast("long"), F.col(text_col)
     encoded = stage(docs.select(id_, text).mapInArrow(_encode(folds, fold), _ENCODED), "encoded")
     asked = encoded.where("word is not null").select("block", "code", "word", "n")
     words = stage(asked.groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, kinds, once = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1)).first()
     unseen = min(0.5, max(once, 1) / (total + 1)) if total else 1.0
-    training = docs.where(F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % folds != fold).select(text)
-    tree = docs.sparkSession.sparkContext.broadcast(train_tree(training, words))
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = tree.value.symbol.get
-        for b in batches:
-            symbols = [get(w.encode("utf-8", "surrogatepass"), 0) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(symbols, pa.int64())], ["word", "c", "symbol"])
-
-    known = words.mapInArrow(number, "word string, c long, symbol long")
-    answers = asked.select("block", "code", "word").join(known, "word").select(F.col("block").alias("to"), "code", "c", "symbol")
+    buckets = max(1, -(-total // BUCKET_TOKENS))
     texts = encoded.where("word is null").select("block", "doc_id", "held", "codes")
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def combine(left: pa.Table, right: pa.Table) -> pa.Table:
-        code = right.column("code").to_numpy()
-        c, symbol = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-        c[code], symbol[code] = right.column("c").to_numpy(), right.column("symbol").to_numpy()
-        base = np.log10((c + 1) / (total + (kinds + 1)))
-        root = np.where(c > 0, (1 - unseen) * c / max(1, total), unseen)
-        seen, out = (c > 0).astype(np.int64), []
-        for doc_id, held, data in zip(left.column("doc_id").to_pylist(), left.column("held").to_pylist(), left.column("codes")):
-            at = np.frombuffer(data.as_py(), np.int32)
-            score = np.log10(tree.value.probabilities(symbol[at], root[at])).sum()
-            out.append((doc_id, held, len(at), int(seen[at].sum()), total, float(base[at].sum()), float(score)))
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(col, t) for col, t in zip(zip(*out) if out else [[]] * 7, types)], names=names)
-
+    empty = (np.array([], np.uint64), np.array([], np.int64), np.array([], np.float64))
+
+    def pack(group: pa.Table) -> pa.Table:
+        code = group.column("code").to_numpy()
+        h, c = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        h[code], c[code] = group.column("h").to_numpy(), group.column("c").to_numpy()
+        return pa.table({"block": group.column("to").slice(0, 1), "a": pa.array([h.tobytes()], pa.binary()), "b": pa.array([c.tobytes()], pa.binary())})
+
+    known = words.select("word", F.col("n").alias("c"), F.xxhash64("word").alias("h"))
+    packed = asked.select("block", "code", "word").join(known, "word").select(F.col("block").alias("to"), "code", "c", "h").groupBy("to").applyInArrow(pack, "block long, a binary, b binary")
+    nothing = lambda t, name: F.lit(None).cast(t).alias(name)
+    answers = [stage(packed.select("block", F.lit(0).alias("depth"), nothing("int", "bucket"), nothing("boolean", "hot"), "a", "b", nothing("binary", "c")), "answers")]
+    shared = []
+
+    def path(left: pa.Table, right: pa.Table) -> tuple[_Path, np.ndarray, np.ndarray]:
+        """The path up to the last length that has been answered, with each place's count and its probability so far."""
+        given: dict[int, dict] = {}
+        for d, bucket, hot, a, b, c in zip(*(right.column(x).to_pylist() for x in ("depth", "bucket", "hot", "a", "b", "c"))):
+            given.setdefault(d, {})[(bucket or 0) + bool(hot) * buckets] = (a, b, c)
+        h, c, _ = given[0][0]
+        codes = [np.frombuffer(x.as_py(), np.int32) for x in left.column("codes")]
+        p = _Path(codes, [not x for x in left.column("held").to_pylist()], np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64), total, buckets, least)
+        seen = p.count
+        prob = np.where(seen > 0, (1 - unseen) * seen / max(1, total), unseen)
+        for d, hot in enumerate(shared, 1):
+            p.grow()
+            p.settle(given.get(d, {}), hot.value)
+            prob = np.where(p.retained, (p.count + p.kinds * prob) / np.maximum(1, p.total + p.kinds), prob)
+        return p, seen, prob
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        p, _, _ = path(left, right)
+        p.grow()
+        out, block = [], left.column("block")[0].as_py()
+        for chunk, keys, contexts in p.slices():
+            parts = (p.contexts[contexts], p.runs[contexts].astype(np.int32), p.gains[contexts], p.key[keys], p.n[keys].astype(np.int32))
+            out.append((block, p.depth, chunk % buckets, chunk >= buckets, *(x.tobytes() for x in parts)))
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 9, types)], names=[x.split()[0] for x in _ASKED.split(", ")])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        p, seen, prob = path(left, right)
+        sums = lambda x: np.add.reduceat(x, np.cumsum(p.sizes) - p.sizes)
+        base = np.log10((seen + 1) / (total + (kinds + 1)))
+        rows = (left.column("doc_id"), left.column("held"), pa.array(p.sizes, pa.int64()), pa.array(sums((seen > 0).astype(np.int64))), pa.array(np.full(len(p.sizes), total, np.int64)), pa.array(sums(base)), pa.array(sums(np.log10(prob))))
+        return pa.table(list(rows), names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    by_block = lambda: texts.groupBy("block").cogroup(reduce(DataFrame.union, answers).withColumnRenamed("block", "to").groupBy("to"))
+    for d in range(1, depth + 1):
+        questions = stage(by_block().applyInArrow(ask, _ASKED), "questions")
+        got = stage(questions.groupBy("bucket").applyInArrow(_sum_bucket, _ANSWERED), "answers")
+        unstage(questions)
+        hot = got.where("block is null").groupBy("hot_context").agg(F.sum("hot_kinds"), F.sum("hot_gain")).toPandas().to_numpy(object)
+        hot = (hot[:, 0].astype(np.int64).view(np.uint64), hot[:, 1].astype(np.int64), hot[:, 2].astype(float)) if len(hot) else empty
+        by = np.argsort(hot[0])
+        shared = [*shared, spark.sparkContext.broadcast(tuple(x[by] for x in hot))]
+        answers.append(got.where("block is not null").select("block", "depth", "bucket", "hot", "a", "b", "c"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(combine, schema)
+    return by_block().applyInArrow(score, schema)
