@@ -9,6 +9,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,9 @@ DEPTH = 3
 #: Times that a context occurs in training before it is tested, whatever the corpus.
 LEAST = 8
 #: Tokens and distinct tokens after which a task starts a new block.
-BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 1_000_000
+BLOCK_TOKENS, BLOCK_WORDS = 1_000_000, 400_000
 #: Training tokens for each bucket that counts are summed in.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 #: A context with at least this share of all training tokens, and at least HOT_LEAST of them, is hot: its next tokens are dealt over
 #: all buckets. Contexts of one length don't overlap in place, so at most 1 / HOT of a length are hot, whatever the corpus.
 HOT, HOT_LEAST = 1e-5, 100_000
@@ -53,18 +55,27 @@ class _Block(dict):
         return np.bincount(np.concatenate(self.train), minlength=len(self)) if self.train else np.zeros(len(self), np.int64)
 
 
-_ENCODED = "block long, doc_id long, held boolean, codes binary, code int, word string, n long"
+def _zip(x: np.ndarray) -> bytes:
+    """Integers packed small: the bytes of equal weight together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def _unzip(x: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+_ENCODED = "block long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, code int, word string, n long"
 
 
 def _rows(**columns) -> pa.RecordBatch:
-    kinds = {"block": pa.int64(), "doc_id": pa.int64(), "held": pa.bool_(), "codes": pa.binary(), "code": pa.int32(), "word": pa.string(), "n": pa.int64()}
+    kinds = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "codes": pa.binary(), "code": pa.int32(), "word": pa.string(), "n": pa.int64()}
     size = len(next(iter(columns.values())))
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in kinds.items()], list(kinds))
 
 
 def _encode(folds: int, fold: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts as numbers within their block, then the block's own list of tokens with their training counts."""
+        """Texts as numbers within their block, some in a row, then the block's own list of tokens with their training counts."""
         block = _Block()
 
         def words() -> Iterator[pa.RecordBatch]:
@@ -74,23 +85,38 @@ def _encode(folds: int, fold: int):
                 part = every[i : i + 100_000]
                 yield _rows(block=np.full(len(part), block.id), code=np.arange(i, i + len(part), dtype=np.int32), word=part, n=n[i : i + 100_000])
 
+        def texts() -> pa.RecordBatch:
+            ids, held, codes = zip(*docs)
+            return _rows(block=[block.id], ids=[ids], held=[held], sizes=[[len(x) for x in codes]], codes=[_zip(np.concatenate(codes))])
+
         for batch in batches:
             docs: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held = zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == fold
-                docs.append((block.id, doc_id, held, block.add(text.as_py(), not held).tobytes()))
+                docs.append((doc_id, held, block.add(text.as_py(), not held)))
                 if block.tokens >= BLOCK_TOKENS or len(block) >= BLOCK_WORDS:
-                    yield _rows(**dict(zip(("block", "doc_id", "held", "codes"), zip(*docs))))
+                    yield texts()
                     yield from words()
                     docs, block = [], _Block()
             if docs:
-                yield _rows(**dict(zip(("block", "doc_id", "held", "codes"), zip(*docs))))
+                yield texts()
         if block:
             yield from words()
 
     return encode
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place of each, and where each place's value is among them."""
+    order = np.argsort(x)
+    x = x[order]
+    edge = np.ones(len(x), bool)
+    edge[1:] = x[1:] != x[:-1]
+    inverse = np.empty(len(x), np.int64)
+    inverse[order] = np.cumsum(edge) - 1
+    return x[edge], order[edge], inverse
+
+
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a ^ b * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
@@ -119,12 +145,11 @@ class _Path:
     beyond one token, what precedes its last token is counted; so how often it occurs is always known already from the step before.
     """
 
-    def __init__(self, codes: list[np.ndarray], train: list[bool], h: np.ndarray, c: np.ndarray, total: int, buckets: int, least: int):
-        self.sizes = np.array([len(x) for x in codes])
-        code = np.concatenate(codes)
+    def __init__(self, code: np.ndarray, sizes: np.ndarray, train: np.ndarray, h: np.ndarray, c: np.ndarray, total: int, buckets: int, least: int):
+        self.sizes = sizes
         self.h, self.count = h[code], c[code]
         self.place = np.arange(len(code)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.train = np.repeat(np.array(train, float), self.sizes)
+        self.train = np.repeat(train, self.sizes)
         self.context, self.total = np.zeros(len(code), np.uint64), np.full(len(code), total, np.int64)
         self.retained, self.buckets, self.least, self.depth = np.ones(len(code), bool), buckets, least, 0
         self.hot = max(HOT * total, HOT_LEAST)
@@ -136,7 +161,7 @@ class _Path:
         total = np.where(ok, _earlier(self.count, 1), 0)
         self.at = at = np.flatnonzero(total >= self.least)
         self.context = _mix(self.context, _earlier(self.h, self.depth))
-        key, first, inverse = np.unique(_mix(self.context[at], self.h[at]), return_index=True, return_inverse=True)
+        key, first, inverse = _distinct(_mix(self.context[at], self.h[at]))
         one, n = at[first], np.bincount(inverse, self.train[at], len(key)).astype(np.int64)
         context, times = self.context[one], total[one]
         hot = times >= self.hot
@@ -168,7 +193,7 @@ class _Path:
         n, kinds, gain = np.zeros(len(self.key), np.int64), np.zeros(len(self.start), np.int64), np.zeros(len(self.start))
         for chunk, keys, contexts in self.slices():
             a, b, c = answers[chunk]
-            n[keys] = np.frombuffer(a, np.int64)
+            n[keys] = _unzip(a, np.int64)
             if chunk < self.buckets:
                 kinds[contexts], gain[contexts] = np.frombuffer(b, np.int64), np.frombuffer(c, np.float64)
             else:
@@ -184,9 +209,10 @@ def _sum_bucket(table: pa.Table) -> pa.Table:
     """Counts of a bucket's keys over all blocks, and kinds and gains of its contexts, as answers to each block."""
     got = {name: table.column(name).to_pylist() for name in table.column_names}
     numbers = lambda name, kind: [np.frombuffer(x, kind) for x in got[name]]
-    contexts, runs, gains, keys, n = numbers("contexts", np.uint64), numbers("runs", np.int32), numbers("gains", np.float64), numbers("keys", np.uint64), numbers("n", np.int32)
-    every, of = np.unique(np.concatenate(contexts), return_inverse=True)
-    key, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    contexts, runs, gains, keys = numbers("contexts", np.uint64), numbers("runs", np.int32), numbers("gains", np.float64), numbers("keys", np.uint64)
+    n = [_unzip(x, np.int32) for x in got["n"]]
+    every, _, of = _distinct(np.concatenate(contexts))
+    key, first, inverse = _distinct(np.concatenate(keys))
     count = np.bincount(inverse, np.concatenate(n), len(key)).astype(np.int64)
     context = np.repeat(of, np.concatenate(runs))[first]
     kinds = np.bincount(context, count > 0, len(every)).astype(np.int64)
@@ -195,7 +221,7 @@ def _sum_bucket(table: pa.Table) -> pa.Table:
     for block, is_hot, c, k in zip(got["block"], got["hot"], contexts, keys):
         mine, i, j = of[i : i + len(c)], i + len(c), j + len(k)
         kinds_gain = (None, None) if is_hot else (kinds[mine].tobytes(), gain[mine].tobytes())
-        out.append((block, got["depth"][0], got["bucket"][0], is_hot, count[j - len(k) : j].tobytes(), *kinds_gain, None, None, None))
+        out.append((block, got["depth"][0], got["bucket"][0], is_hot, _zip(count[j - len(k) : j]), *kinds_gain, None, None, None))
         if is_hot:
             hot.update(mine.tolist())
     for c in sorted(hot):
@@ -230,19 +256,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, kinds, once = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1)).first()
     unseen = min(0.5, max(once, 1) / (total + 1)) if total else 1.0
     buckets = max(1, -(-total // BUCKET_TOKENS))
-    texts = encoded.where("word is null").select("block", "doc_id", "held", "codes")
+    texts = stage(encoded.where("word is null").select("block", "ids", "held", "sizes", "codes"), "texts")
     empty = (np.array([], np.uint64), np.array([], np.int64), np.array([], np.float64))
 
     def pack(group: pa.Table) -> pa.Table:
         code = group.column("code").to_numpy()
         h, c = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
         h[code], c[code] = group.column("h").to_numpy(), group.column("c").to_numpy()
-        return pa.table({"block": group.column("to").slice(0, 1), "a": pa.array([h.tobytes()], pa.binary()), "b": pa.array([c.tobytes()], pa.binary())})
+        return pa.table({"block": group.column("to").slice(0, 1), "a": pa.array([h.tobytes()], pa.binary()), "b": pa.array([_zip(c)], pa.binary())})
 
     known = words.select("word", F.col("n").alias("c"), F.xxhash64("word").alias("h"))
     packed = asked.select("block", "code", "word").join(known, "word").select(F.col("block").alias("to"), "code", "c", "h").groupBy("to").applyInArrow(pack, "block long, a binary, b binary")
     nothing = lambda t, name: F.lit(None).cast(t).alias(name)
     answers = [stage(packed.select("block", F.lit(0).alias("depth"), nothing("int", "bucket"), nothing("boolean", "hot"), "a", "b", nothing("binary", "c")), "answers")]
+    unstage(encoded, words)
     shared = []
 
     def path(left: pa.Table, right: pa.Table) -> tuple[_Path, np.ndarray, np.ndarray]:
@@ -251,8 +278,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for d, bucket, hot, a, b, c in zip(*(right.column(x).to_pylist() for x in ("depth", "bucket", "hot", "a", "b", "c"))):
             given.setdefault(d, {})[(bucket or 0) + bool(hot) * buckets] = (a, b, c)
         h, c, _ = given[0][0]
-        codes = [np.frombuffer(x.as_py(), np.int32) for x in left.column("codes")]
-        p = _Path(codes, [not x for x in left.column("held").to_pylist()], np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64), total, buckets, least)
+        code = np.concatenate([_unzip(x.as_py(), np.int32) for x in left.column("codes")])
+        flat = lambda name: pc.list_flatten(left.column(name)).to_numpy()
+        p = _Path(code, flat("sizes").astype(np.int64), ~flat("held").astype(bool), np.frombuffer(h, np.uint64), _unzip(c, np.int64), total, buckets, least)
         seen = p.count
         prob = np.where(seen > 0, (1 - unseen) * seen / max(1, total), unseen)
         for d, hot in enumerate(shared, 1):
@@ -266,8 +294,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p.grow()
         out, block = [], left.column("block")[0].as_py()
         for chunk, keys, contexts in p.slices():
-            parts = (p.contexts[contexts], p.runs[contexts].astype(np.int32), p.gains[contexts], p.key[keys], p.n[keys].astype(np.int32))
-            out.append((block, p.depth, chunk % buckets, chunk >= buckets, *(x.tobytes() for x in parts)))
+            parts = (p.contexts[contexts], p.runs[contexts].astype(np.int32), p.gains[contexts], p.key[keys])
+            out.append((block, p.depth, chunk % buckets, chunk >= buckets, *(x.tobytes() for x in parts), _zip(p.n[keys].astype(np.int32))))
         types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 5]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 9, types)], names=[x.split()[0] for x in _ASKED.split(", ")])
 
@@ -275,7 +303,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p, seen, prob = path(left, right)
         sums = lambda x: np.add.reduceat(x, np.cumsum(p.sizes) - p.sizes)
         base = np.log10((seen + 1) / (total + (kinds + 1)))
-        rows = (left.column("doc_id"), left.column("held"), pa.array(p.sizes, pa.int64()), pa.array(sums((seen > 0).astype(np.int64))), pa.array(np.full(len(p.sizes), total, np.int64)), pa.array(sums(base)), pa.array(sums(np.log10(prob))))
+        rows = (pc.list_flatten(left.column("ids")), pc.list_flatten(left.column("held")), pa.array(p.sizes, pa.int64()), pa.array(sums((seen > 0).astype(np.int64))), pa.array(np.full(len(p.sizes), total, np.int64)), pa.array(sums(base)), pa.array(sums(np.log10(prob))))
         return pa.table(list(rows), names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     by_block = lambda: texts.groupBy("block").cogroup(reduce(DataFrame.union, answers).withColumnRenamed("block", "to").groupBy("to"))
