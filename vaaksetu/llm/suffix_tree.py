@@ -195,7 +195,7 @@ class _Path:
             a, b, c = answers[chunk]
             n[keys] = _unzip(a, np.int64)
             if chunk < self.buckets:
-                kinds[contexts], gain[contexts] = np.frombuffer(b, np.int64), np.frombuffer(c, np.float64)
+                kinds[contexts], gain[contexts] = _unzip(b, np.int64), np.frombuffer(c, np.float64)
             else:
                 i = np.searchsorted(hot[0], self.contexts[contexts])
                 kinds[contexts], gain[contexts] = hot[1][i], hot[2][i]
@@ -209,8 +209,8 @@ def _sum_bucket(table: pa.Table) -> pa.Table:
     """Counts of a bucket's keys over all blocks, and kinds and gains of its contexts, as answers to each block."""
     got = {name: table.column(name).to_pylist() for name in table.column_names}
     numbers = lambda name, kind: [np.frombuffer(x, kind) for x in got[name]]
-    contexts, runs, gains, keys = numbers("contexts", np.uint64), numbers("runs", np.int32), numbers("gains", np.float64), numbers("keys", np.uint64)
-    n = [_unzip(x, np.int32) for x in got["n"]]
+    contexts, gains, keys = numbers("contexts", np.uint64), numbers("gains", np.float64), numbers("keys", np.uint64)
+    runs, n = ([_unzip(x, np.int32) for x in got[name]] for name in ("runs", "n"))
     every, _, of = _distinct(np.concatenate(contexts))
     key, first, inverse = _distinct(np.concatenate(keys))
     count = np.bincount(inverse, np.concatenate(n), len(key)).astype(np.int64)
@@ -220,7 +220,7 @@ def _sum_bucket(table: pa.Table) -> pa.Table:
     count, out, hot, i, j = count[inverse], [], set(), 0, 0
     for block, is_hot, c, k in zip(got["block"], got["hot"], contexts, keys):
         mine, i, j = of[i : i + len(c)], i + len(c), j + len(k)
-        kinds_gain = (None, None) if is_hot else (kinds[mine].tobytes(), gain[mine].tobytes())
+        kinds_gain = (None, None) if is_hot else (_zip(kinds[mine]), gain[mine].tobytes())
         out.append((block, got["depth"][0], got["bucket"][0], is_hot, _zip(count[j - len(k) : j]), *kinds_gain, None, None, None))
         if is_hot:
             hot.update(mine.tolist())
@@ -294,8 +294,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p.grow()
         out, block = [], left.column("block")[0].as_py()
         for chunk, keys, contexts in p.slices():
-            parts = (p.contexts[contexts], p.runs[contexts].astype(np.int32), p.gains[contexts], p.key[keys])
-            out.append((block, p.depth, chunk % buckets, chunk >= buckets, *(x.tobytes() for x in parts), _zip(p.n[keys].astype(np.int32))))
+            runs, n = (_zip(x.astype(np.int32)) for x in (p.runs[contexts], p.n[keys]))
+            out.append((block, p.depth, chunk % buckets, chunk >= buckets, p.contexts[contexts].tobytes(), runs, p.gains[contexts].tobytes(), p.key[keys].tobytes(), n))
         types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 5]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 9, types)], names=[x.split()[0] for x in _ASKED.split(", ")])
 
@@ -308,9 +308,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     by_block = lambda: texts.groupBy("block").cogroup(reduce(DataFrame.union, answers).withColumnRenamed("block", "to").groupBy("to"))
     for d in range(1, depth + 1):
-        questions = stage(by_block().applyInArrow(ask, _ASKED), "questions")
-        got = stage(questions.groupBy("bucket").applyInArrow(_sum_bucket, _ANSWERED), "answers")
-        unstage(questions)
+        # Questions aren't staged: they are the largest table, and come out the same when a lost executor's are asked again.
+        got = stage(by_block().applyInArrow(ask, _ASKED).groupBy("bucket").applyInArrow(_sum_bucket, _ANSWERED), "answers")
         hot = got.where("block is null").groupBy("hot_context").agg(F.sum("hot_kinds"), F.sum("hot_gain")).toPandas().to_numpy(object)
         hot = (hot[:, 0].astype(np.int64).view(np.uint64), hot[:, 1].astype(np.int64), hot[:, 2].astype(float)) if len(hot) else empty
         by = np.argsort(hot[0])
