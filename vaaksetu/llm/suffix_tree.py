@@ -29,6 +29,8 @@ BUCKET_TOKENS = 1_000_000
 #: A context with at least this share of all training tokens, and at least HOT_LEAST of them, is hot: its next tokens are dealt over
 #: all buckets. Contexts of one length don't overlap in place, so at most 1 / HOT of a length are hot, whatever the corpus.
 HOT, HOT_LEAST = 1e-5, 100_000
+#: Bits of a context that lead its keys, so that keys in order are in order of buckets too; and those that tell its next tokens apart.
+LEAD, NEXT = 24, 40
 
 
 class _Block(dict):
@@ -132,16 +134,18 @@ def _earlier(f: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-#: What a block asks a bucket: contexts with the number of their keys and their share of the gain; keys (context and next token) with their training counts.
-_ASKED = "block long, depth int, bucket int, hot boolean, contexts binary, runs binary, gains binary, keys binary, n binary"
-#: The answer, in the order of the question; or, for hot contexts, the bucket's part of their kinds and gain.
-_ANSWERED = "block long, depth int, bucket int, hot boolean, a binary, b binary, c binary, hot_context long, hot_kinds long, hot_gain double"
+#: What a block asks a bucket: contexts with the number of their keys and how often their suffix occurs; keys (next tokens) with their counts
+#: after the suffix and in the block's training texts. All are whole numbers, so sums don't depend on the order in which blocks come.
+_ASKED = "block long, depth int, bucket int, hot boolean, contexts binary, runs binary, totals binary, keys binary, ups binary, n binary"
+#: The answer, in the order of the question: counts of keys; kinds of next tokens of contexts, 0 if not retained. Or, for hot contexts, the
+#: bucket's part of their kinds, of how often they occur, and of their gain.
+_ANSWERED = "block long, depth int, bucket int, hot boolean, a binary, b binary, hot_context long, hot_kinds long, hot_times long, hot_part double"
 
 
 class _Path:
     """The contexts at each place of a block's texts, from the root on, a token longer at each step.
 
-    A context is known by a hash of 64 bits. It is counted if it occurs LEAST times in training, its suffix is retained and,
+    A context is known by a hash of 64 bits, its next tokens by NEXT bits each. It is counted if it occurs LEAST times in training, its suffix is retained and,
     beyond one token, what precedes its last token is counted; so how often it occurs is always known already from the step before.
     """
 
@@ -161,25 +165,26 @@ class _Path:
         total = np.where(ok, _earlier(self.count, 1), 0)
         self.at = at = np.flatnonzero(total >= self.least)
         self.context = _mix(self.context, _earlier(self.h, self.depth))
-        key, first, inverse = _distinct(_mix(self.context[at], self.h[at]))
+        mixed = _mix(self.context[at], self.h[at])
+        low = np.uint64((1 << NEXT) - 1)
+        key, first, inverse = _distinct(self.context[at] & ~low | mixed >> np.uint64(LEAD))
         one, n = at[first], np.bincount(inverse, self.train[at], len(key)).astype(np.int64)
-        context, times = self.context[one], total[one]
-        hot = times >= self.hot
-        chunk = (np.where(hot, key, context) % np.uint64(self.buckets)).astype(np.int64) + hot * self.buckets
-        by = np.lexsort((context, chunk))
-        self.key, self.n, self.chunk, context = key[by], n[by], chunk[by], context[by]
-        self.sorted = np.empty(len(by), np.int64)
-        self.sorted[by] = np.arange(len(by))
-        self.sorted = self.sorted[inverse]
-        self.times = times[by]
-        # A key's part of the gain but for the logarithm of its own count.
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(self.n > 0, self.n * np.log(self.total[one][by] / (self.count[one][by] * self.times.astype(float))), 0.0)
+        context, times, buckets = self.context[one], total[one], np.uint64(self.buckets)
+        # Keys are in the order of the buckets of their contexts already, all but those of hot contexts.
+        chunk = ((key >> np.uint64(NEXT)) * buckets >> np.uint64(LEAD)).astype(np.int64)
+        hot = np.flatnonzero(times >= self.hot)
+        chunk[hot] = ((key[hot] & low) >> np.uint64(NEXT - LEAD)) * buckets >> np.uint64(LEAD)
+        chunk[hot] += self.buckets
+        by = np.concatenate([np.flatnonzero(times < self.hot), hot[np.lexsort((context[hot], chunk[hot]))]])
+        self.n, self.chunk, context, one = n[by], chunk[by], context[by], one[by]
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.sorted = place[inverse]
+        self.key, self.up = self.h[one] >> np.uint64(64 - NEXT), self.count[one]
         edge = np.ones(len(by), bool)
         edge[1:] = (context[1:] != context[:-1]) | (self.chunk[1:] != self.chunk[:-1])
         self.start = np.flatnonzero(edge)
-        self.contexts, self.runs = context[self.start], np.diff(np.append(self.start, len(by)))
-        self.gains = np.add.reduceat(gain, self.start) if len(by) else gain
+        self.contexts, self.runs, self.totals = context[self.start], np.diff(np.append(self.start, len(by))), self.total[one[self.start]]
         self.total = total
 
     def slices(self) -> Iterator[tuple[int, slice, slice]]:
@@ -190,43 +195,50 @@ class _Path:
 
     def settle(self, answers: dict[int, tuple], hot: tuple) -> None:
         """Takes the answers on this length in: what is retained, and how often each key occurs."""
-        n, kinds, gain = np.zeros(len(self.key), np.int64), np.zeros(len(self.start), np.int64), np.zeros(len(self.start))
+        n, kinds = np.zeros(len(self.key), np.int64), np.zeros(len(self.start), np.int64)
         for chunk, keys, contexts in self.slices():
-            a, b, c = answers[chunk]
+            a, b = answers[chunk]
             n[keys] = _unzip(a, np.int64)
-            if chunk < self.buckets:
-                kinds[contexts], gain[contexts] = _unzip(b, np.int64), np.frombuffer(c, np.float64)
-            else:
-                i = np.searchsorted(hot[0], self.contexts[contexts])
-                kinds[contexts], gain[contexts] = hot[1][i], hot[2][i]
-        passed = gain >= kinds * np.log(np.maximum(1, self.times[self.start])) / 2
-        of = np.repeat(np.arange(len(self.start)), self.runs)[self.sorted]
-        self.count, self.retained, self.kinds = np.zeros_like(self.total), np.zeros(len(self.total), bool), np.zeros(len(self.total), np.int64)
-        self.count[self.at], self.retained[self.at], self.kinds[self.at] = n[self.sorted], passed[of], kinds[of]
+            kinds[contexts] = _unzip(b, np.int64) if chunk < self.buckets else hot[1][np.searchsorted(hot[0], self.contexts[contexts])]
+        self.count, self.kinds = np.zeros_like(self.total), np.zeros_like(self.total)
+        self.count[self.at], self.kinds[self.at] = n[self.sorted], np.repeat(kinds, self.runs)[self.sorted]
+        self.retained = self.kinds > 0
+
+
+def _retained(kinds: np.ndarray, times: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Kinds of the contexts that the divergence test keeps, 0 for the others."""
+    log = np.log(np.maximum(1, times))
+    return np.where(part - times * log >= kinds * log / 2, kinds, 0)
 
 
 def _sum_bucket(table: pa.Table) -> pa.Table:
-    """Counts of a bucket's keys over all blocks, and kinds and gains of its contexts, as answers to each block."""
+    """Counts of a bucket's keys over all blocks, and what the test says of its contexts, as answers to each block."""
     got = {name: table.column(name).to_pylist() for name in table.column_names}
-    numbers = lambda name, kind: [np.frombuffer(x, kind) for x in got[name]]
-    contexts, gains, keys = numbers("contexts", np.uint64), numbers("gains", np.float64), numbers("keys", np.uint64)
-    runs, n = ([_unzip(x, np.int32) for x in got[name]] for name in ("runs", "n"))
-    every, _, of = _distinct(np.concatenate(contexts))
-    key, first, inverse = _distinct(np.concatenate(keys))
-    count = np.bincount(inverse, np.concatenate(n), len(key)).astype(np.int64)
-    context = np.repeat(of, np.concatenate(runs))[first]
-    kinds = np.bincount(context, count > 0, len(every)).astype(np.int64)
-    gain = np.bincount(of, np.concatenate(gains), len(every)) + np.bincount(context, count * np.log(np.maximum(1, count)), len(every))
-    count, out, hot, i, j = count[inverse], [], set(), 0, 0
-    for block, is_hot, c, k in zip(got["block"], got["hot"], contexts, keys):
-        mine, i, j = of[i : i + len(c)], i + len(c), j + len(k)
-        kinds_gain = (None, None) if is_hot else (_zip(kinds[mine]), gain[mine].tobytes())
-        out.append((block, got["depth"][0], got["bucket"][0], is_hot, _zip(count[j - len(k) : j]), *kinds_gain, None, None, None))
+    numbers = lambda name, kind: [_unzip(x, kind) for x in got.pop(name)]
+    contexts = [np.cumsum(x, dtype=np.uint64) for x in numbers("contexts", np.uint64)]
+    ends = np.cumsum([len(x) for x in contexts])
+    every, at, of = _distinct(np.concatenate(contexts))
+    del contexts
+    totals = np.concatenate(numbers("totals", np.int64))[at]
+    keys = numbers("keys", np.uint64)
+    key_ends = np.cumsum([len(x) for x in keys])
+    # A bucket has about BUCKET_TOKENS / LEAST contexts of one length, far fewer than 2 ** LEAD.
+    pair = np.repeat(of.astype(np.uint64) << np.uint64(NEXT), np.concatenate(numbers("runs", np.int32))) | np.concatenate(keys)
+    del keys
+    pair, first, inverse = _distinct(pair)
+    up = np.concatenate(numbers("ups", np.int64))[first]
+    count = np.bincount(inverse, np.concatenate(numbers("n", np.int32)), len(pair)).astype(np.int64)
+    context = (pair >> np.uint64(NEXT)).astype(np.int64)
+    times, kinds = (np.bincount(context, x, len(every)).astype(np.int64) for x in (count, count > 0))
+    part = np.bincount(context, count * (np.log(np.maximum(1, count)) - np.log(np.maximum(1, up)) + np.log(np.maximum(1, totals))[context]), len(every))
+    kept, count, out, hot = _retained(kinds, times, part), count[inverse], [], set()
+    for block, is_hot, lo, hi, i, j in zip(got["block"], got["hot"], [0, *ends[:-1]], ends, [0, *key_ends[:-1]], key_ends):
+        out.append((block, got["depth"][0], got["bucket"][0], is_hot, _zip(count[i:j]), None if is_hot else _zip(kept[of[lo:hi]]), None, None, None, None))
         if is_hot:
-            hot.update(mine.tolist())
+            hot.update(of[lo:hi].tolist())
     for c in sorted(hot):
-        out.append((None, got["depth"][0], None, True, None, None, None, int(every[c : c + 1].view(np.int64)[0]), int(kinds[c]), float(gain[c])))
-    kinds_ = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
+        out.append((None, got["depth"][0], None, True, None, None, int(every[c : c + 1].view(np.int64)[0]), int(kinds[c]), int(times[c]), float(part[c])))
+    kinds_ = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
     return pa.table([pa.array(x, t) for x, t in zip(zip(*out), kinds_)], names=[x.split()[0] for x in _ANSWERED.split(", ")])
 
 
@@ -246,7 +258,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only hot contexts are, whose keys lie in all buckets and whose number has a fixed bound.
 
     Null and empty texts are the end token alone; a null id counts as empty text when folds are dealt; repeated rows count each
-    time; an empty table has no scores. Two contexts whose hashes of 64 bits agree would be taken for one.
+    time; an empty table has no scores. Two contexts whose hashes of 64 bits agree would be taken
+    for one, and so would two next tokens of a context whose hashes of 40 bits do.
     """
     spark = docs.sparkSession
     id_, text = F.col(id_col).cast("long"), F.col(text_col)
@@ -255,9 +268,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = stage(asked.groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, kinds, once = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1)).first()
     unseen = min(0.5, max(once, 1) / (total + 1)) if total else 1.0
-    buckets = max(1, -(-total // BUCKET_TOKENS))
+    buckets = min(1 << LEAD, max(1, -(-total // BUCKET_TOKENS)))
     texts = stage(encoded.where("word is null").select("block", "ids", "held", "sizes", "codes"), "texts")
-    empty = (np.array([], np.uint64), np.array([], np.int64), np.array([], np.float64))
+    empty = (np.array([], np.uint64), np.array([], np.int64))
 
     def pack(group: pa.Table) -> pa.Table:
         code = group.column("code").to_numpy()
@@ -268,16 +281,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = words.select("word", F.col("n").alias("c"), F.xxhash64("word").alias("h"))
     packed = asked.select("block", "code", "word").join(known, "word").select(F.col("block").alias("to"), "code", "c", "h").groupBy("to").applyInArrow(pack, "block long, a binary, b binary")
     nothing = lambda t, name: F.lit(None).cast(t).alias(name)
-    answers = [stage(packed.select("block", F.lit(0).alias("depth"), nothing("int", "bucket"), nothing("boolean", "hot"), "a", "b", nothing("binary", "c")), "answers")]
+    answers = [stage(packed.select("block", F.lit(0).alias("depth"), nothing("int", "bucket"), nothing("boolean", "hot"), "a", "b"), "answers")]
     unstage(encoded, words)
     shared = []
 
     def path(left: pa.Table, right: pa.Table) -> tuple[_Path, np.ndarray, np.ndarray]:
         """The path up to the last length that has been answered, with each place's count and its probability so far."""
         given: dict[int, dict] = {}
-        for d, bucket, hot, a, b, c in zip(*(right.column(x).to_pylist() for x in ("depth", "bucket", "hot", "a", "b", "c"))):
-            given.setdefault(d, {})[(bucket or 0) + bool(hot) * buckets] = (a, b, c)
-        h, c, _ = given[0][0]
+        for d, bucket, hot, a, b in zip(*(right.column(x).to_pylist() for x in ("depth", "bucket", "hot", "a", "b"))):
+            given.setdefault(d, {})[(bucket or 0) + bool(hot) * buckets] = (a, b)
+        h, c = given[0][0]
         code = np.concatenate([_unzip(x.as_py(), np.int32) for x in left.column("codes")])
         flat = lambda name: pc.list_flatten(left.column(name)).to_numpy()
         p = _Path(code, flat("sizes").astype(np.int64), ~flat("held").astype(bool), np.frombuffer(h, np.uint64), _unzip(c, np.int64), total, buckets, least)
@@ -295,9 +308,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out, block = [], left.column("block")[0].as_py()
         for chunk, keys, contexts in p.slices():
             runs, n = (_zip(x.astype(np.int32)) for x in (p.runs[contexts], p.n[keys]))
-            out.append((block, p.depth, chunk % buckets, chunk >= buckets, p.contexts[contexts].tobytes(), runs, p.gains[contexts].tobytes(), p.key[keys].tobytes(), n))
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 5]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 9, types)], names=[x.split()[0] for x in _ASKED.split(", ")])
+            steps = _zip(np.diff(p.contexts[contexts], prepend=np.uint64(0)))
+            out.append((block, p.depth, chunk % buckets, chunk >= buckets, steps, runs, _zip(p.totals[contexts]), _zip(p.key[keys]), _zip(p.up[keys]), n))
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 6]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 10, types)], names=[x.split()[0] for x in _ASKED.split(", ")])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         p, seen, prob = path(left, right)
@@ -310,10 +324,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for d in range(1, depth + 1):
         # Questions aren't staged: they are the largest table, and come out the same when a lost executor's are asked again.
         got = stage(by_block().applyInArrow(ask, _ASKED).groupBy("bucket").applyInArrow(_sum_bucket, _ANSWERED), "answers")
-        hot = got.where("block is null").groupBy("hot_context").agg(F.sum("hot_kinds"), F.sum("hot_gain")).toPandas().to_numpy(object)
-        hot = (hot[:, 0].astype(np.int64).view(np.uint64), hot[:, 1].astype(np.int64), hot[:, 2].astype(float)) if len(hot) else empty
+        hot = got.where("block is null").groupBy("hot_context").agg(F.sum("hot_kinds"), F.sum("hot_times"), F.sum("hot_part")).toPandas().to_numpy(object)
+        hot = (hot[:, 0].astype(np.int64).view(np.uint64), _retained(hot[:, 1].astype(np.int64), hot[:, 2].astype(np.int64), hot[:, 3].astype(float))) if len(hot) else empty
         by = np.argsort(hot[0])
         shared = [*shared, spark.sparkContext.broadcast(tuple(x[by] for x in hot))]
-        answers.append(got.where("block is not null").select("block", "depth", "bucket", "hot", "a", "b", "c"))
+        answers.append(got.where("block is not null").select("block", "depth", "bucket", "hot", "a", "b"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return by_block().applyInArrow(score, schema)
