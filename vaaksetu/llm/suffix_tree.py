@@ -10,6 +10,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,26 +67,25 @@ def _unzip(x: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-_ENCODED = "block long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, code int, word string, n long"
+_ENCODED = "block long, ids array<long>, held array<boolean>, sizes array<int>, codes binary, h binary, low binary, n binary, train long"
 
 
 def _rows(**columns) -> pa.RecordBatch:
-    kinds = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "codes": pa.binary(), "code": pa.int32(), "word": pa.string(), "n": pa.int64()}
+    kinds = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "codes": pa.binary(), "h": pa.binary(), "low": pa.binary(), "n": pa.binary(), "train": pa.int64()}
     size = len(next(iter(columns.values())))
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in kinds.items()], list(kinds))
 
 
 def _encode(folds: int, fold: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts as numbers within their block, some in a row, then the block's own list of tokens with their training counts."""
+        """Texts as numbers within their block, some in a row, then hashes of the block's own list of tokens with their training counts."""
         block = _Block()
 
-        def words() -> Iterator[pa.RecordBatch]:
+        def words() -> pa.RecordBatch:
             n = block.counts()
-            every = [w.decode("utf-8", "surrogatepass") for w in block]
-            for i in range(0, len(every), 100_000):
-                part = every[i : i + 100_000]
-                yield _rows(block=np.full(len(part), block.id), code=np.arange(i, i + len(part), dtype=np.int32), word=part, n=n[i : i + 100_000])
+            digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, block)), ">u8").reshape(-1, 2).astype(np.uint64)
+            low = (digest[:, 1] >> np.uint64(48)).astype(np.uint16)
+            return _rows(block=[block.id], h=[digest[:, 0].tobytes()], low=[low.tobytes()], n=[_zip(n)], train=[int(n.sum())])
 
         def texts() -> pa.RecordBatch:
             ids, held, codes = zip(*docs)
@@ -98,12 +98,12 @@ def _encode(folds: int, fold: int):
                 docs.append((doc_id, held, block.add(text.as_py(), not held)))
                 if block.tokens >= BLOCK_TOKENS or len(block) >= BLOCK_WORDS:
                     yield texts()
-                    yield from words()
+                    yield words()
                     docs, block = [], _Block()
             if docs:
                 yield texts()
         if block:
-            yield from words()
+            yield words()
 
     return encode
 
@@ -119,6 +119,47 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x[edge], order[edge], inverse
 
 
+def _deal(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its hashes in their order)."""
+    order = np.argsort(h, kind="stable")
+    bucket = ((h[order] >> np.uint64(64 - LEAD)) * np.uint64(buckets) >> np.uint64(LEAD)).astype(np.int64)
+    found, first = np.unique(bucket, return_index=True)
+    return zip(found.tolist(), np.split(order, first[1:]))
+
+
+def _ask_words(buckets: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's tokens by bucket: hashes as differences, the bits that they have beyond 64, training counts."""
+        for batch in batches:
+            for block, h, low, n in zip(*(x.to_pylist() for x in batch.columns)):
+                h, low, n = np.frombuffer(h, np.uint64), np.frombuffer(low, np.uint16), _unzip(n, np.int64)
+                rows = [(block, bucket, _zip(np.diff(h[at], prepend=np.uint64(0))), _zip(low[at]), _zip(n[at])) for bucket, at in _deal(h, buckets)]
+                types = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["block", "bucket", "h", "low", "n"])
+
+    return ask
+
+
+def _sum_words(table: pa.Table) -> pa.Table:
+    """Counts of a bucket's tokens over all blocks, in the order of each block's question, then how many tokens have been seen, and once."""
+    numbers = lambda name, kind: [_unzip(x.as_py(), kind) for x in table.column(name)]
+    h = [np.cumsum(x, dtype=np.uint64) for x in numbers("h", np.uint64)]
+    ends = np.cumsum([len(x) for x in h])
+    h, low = np.concatenate(h), np.concatenate(numbers("low", np.uint16))
+    order = np.lexsort((low, h))
+    h, low = h[order], low[order]
+    edge = np.ones(len(h), bool)
+    edge[1:] = (h[1:] != h[:-1]) | (low[1:] != low[:-1])
+    of = np.empty(len(h), np.int64)
+    of[order] = np.cumsum(edge) - 1
+    count = np.bincount(of, np.concatenate(numbers("n", np.int64))).astype(np.int64)
+    given, bucket = count[of], table.column("bucket")[0].as_py()
+    rows = [(block, bucket, _zip(x), None, None) for block, x in zip(table.column("block").to_pylist(), np.split(given, ends[:-1]))]
+    rows.append((None, bucket, None, int((count > 0).sum()), int((count == 1).sum())))
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["block", "bucket", "a", "kinds", "once"])
+
+
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a ^ b * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
@@ -251,49 +292,42 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     divergence, is half of log n at least for each kind of next token. Along the path from the root each retained state mixes its counts with its
     suffix's distribution by Witten and Bell's weights, so every distribution is proper and no token has probability zero.
 
-    Texts become numbers within blocks of a few million tokens, once; a block's list of distinct tokens asks a table of all
-    tokens, partitioned by token, for their counts, and the answers come back to the block. Then, a context length at a time, each block
+    Texts become numbers within blocks of a few million tokens, once; a block sends hashes of its distinct tokens with their training
+    counts to buckets, which sum them over all blocks and answer. Then, a context length at a time, each block
     sends its distinct (context, next token) with their counts to buckets, packed in arrays; a bucket sums them over all blocks and answers
     each block in its own order. So the tree grows with the corpus in a table that is never held by one task nor broadcast.
     Only hot contexts are, whose keys lie in all buckets and whose number has a fixed bound.
 
     Null and empty texts are the end token alone; a null id counts as empty text when folds are dealt; repeated rows count each
-    time; an empty table has no scores. Two contexts whose hashes of 64 bits agree would be taken
-    for one, and so would two next tokens of a context whose hashes of 40 bits do.
+    time; an empty table has no scores. Tokens are known by hashes of 80 bits when they
+    are counted, contexts of 64 and a context's next tokens of 40; two whose hashes agree would be taken for one.
     """
     spark = docs.sparkSession
     id_, text = F.col(id_col).cast("long"), F.col(text_col)
     encoded = stage(docs.select(id_, text).mapInArrow(_encode(folds, fold), _ENCODED), "encoded")
-    asked = encoded.where("word is not null").select("block", "code", "word", "n")
-    words = stage(asked.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total, kinds, once = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1)).first()
-    unseen = min(0.5, max(once, 1) / (total + 1)) if total else 1.0
+    total = encoded.agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
     buckets = min(1 << LEAD, max(1, -(-total // BUCKET_TOKENS)))
-    texts = stage(encoded.where("word is null").select("block", "ids", "held", "sizes", "codes"), "texts")
+    asked = encoded.where("h is not null").select("block", "h", "low", "n").mapInArrow(_ask_words(buckets), "block long, bucket int, h binary, low binary, n binary")
+    counted = stage(asked.groupBy("bucket").applyInArrow(_sum_words, "block long, bucket int, a binary, kinds long, once long"), "answers")
+    kinds, once = counted.agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("once"), F.lit(0))).first()
+    unseen = min(0.5, max(once, 1) / (total + 1)) if total else 1.0
+    texts = encoded.select("block", "ids", "held", "sizes", "codes", "h")
+    answers = [counted.where("block is not null").select("block", F.lit(0).alias("depth"), "bucket", F.lit(False).alias("hot"), "a", F.lit(None).cast("binary").alias("b"))]
     empty = (np.array([], np.uint64), np.array([], np.int64))
-
-    def pack(group: pa.Table) -> pa.Table:
-        code = group.column("code").to_numpy()
-        h, c = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-        h[code], c[code] = group.column("h").to_numpy(), group.column("c").to_numpy()
-        return pa.table({"block": group.column("to").slice(0, 1), "a": pa.array([h.tobytes()], pa.binary()), "b": pa.array([_zip(c)], pa.binary())})
-
-    known = words.select("word", F.col("n").alias("c"), F.xxhash64("word").alias("h"))
-    packed = asked.select("block", "code", "word").join(known, "word").select(F.col("block").alias("to"), "code", "c", "h").groupBy("to").applyInArrow(pack, "block long, a binary, b binary")
-    nothing = lambda t, name: F.lit(None).cast(t).alias(name)
-    answers = [stage(packed.select("block", F.lit(0).alias("depth"), nothing("int", "bucket"), nothing("boolean", "hot"), "a", "b"), "answers")]
-    unstage(encoded, words)
     shared = []
 
     def path(left: pa.Table, right: pa.Table) -> tuple[_Path, np.ndarray, np.ndarray]:
         """The path up to the last length that has been answered, with each place's count and its probability so far."""
         given: dict[int, dict] = {}
         for d, bucket, hot, a, b in zip(*(right.column(x).to_pylist() for x in ("depth", "bucket", "hot", "a", "b"))):
-            given.setdefault(d, {})[(bucket or 0) + bool(hot) * buckets] = (a, b)
-        h, c = given[0][0]
-        code = np.concatenate([_unzip(x.as_py(), np.int32) for x in left.column("codes")])
+            given.setdefault(d, {})[bucket + hot * buckets] = (a, b)
+        h = np.frombuffer(next(x for x in left.column("h").to_pylist() if x is not None), np.uint64)
+        c = np.zeros(len(h), np.int64)
+        for bucket, at in _deal(h, buckets):
+            c[at] = _unzip(given[0][bucket][0], np.int64)
+        code = np.concatenate([_unzip(x, np.int32) for x in left.column("codes").to_pylist() if x is not None])
         flat = lambda name: pc.list_flatten(left.column(name)).to_numpy()
-        p = _Path(code, flat("sizes").astype(np.int64), ~flat("held").astype(bool), np.frombuffer(h, np.uint64), _unzip(c, np.int64), total, buckets, least)
+        p = _Path(code, flat("sizes").astype(np.int64), ~flat("held").astype(bool), h, c, total, buckets, least)
         seen = p.count
         prob = np.where(seen > 0, (1 - unseen) * seen / max(1, total), unseen)
         for d, hot in enumerate(shared, 1):
