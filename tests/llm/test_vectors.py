@@ -158,3 +158,27 @@ def test_every_dimension_is_searched(spark):
     for r in ann.nearest(table(spark, rows), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got[940] == [(943, 0.5), (945, 0.5), (944, 1.0)] and 960 not in got and set(got) == {*range(20, 201, 20), 940}
+
+
+def test_members_take_bounded_memory():
+    """Vectors that are members of very many cells come in tables of bounded size, and the product with the centroids is never held whole."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    c = embed_dedup.unit(rng.normal(size=(2048, 16)))
+    # Borders of one product held whole: 3000 x 2048 doubles are 49 MB.
+    tracemalloc.start()
+    rows = 0
+    for t in embed_dedup._members(np.arange(3000), np.ones(3000, np.int64), pd.Series(list(x)), 16, c, 0.16):
+        rows += len(t)
+        assert len(t) <= embed_dedup.ROWS
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    u = embed_dedup.unit(x.astype(np.float64))
+    dots, home = u @ c.T, (u @ c.T).argmax(axis=1)
+    far = 0.16 * np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+    assert rows == (dots.max(axis=1)[:, None] - dots <= far[home]).sum() > 100 * embed_dedup.ROWS / 10
+    assert peak < 45e6

@@ -21,16 +21,21 @@ SAMPLE = 20_000
 REACH = 4.0
 #: Rows of a block on either side of a product.
 HOME_BLOCK, MEMBER_BLOCK = 4096, 8192
+#: Numbers of a product of vectors and centroids, and rows of cell members, that a task holds at a time, however many vectors a batch and cells there are.
+PRODUCT, ROWS = 1 << 20, 4096
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """k unit centroids of unit rows; a cell that empties starts anew at the row that fits worst."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)]
+    step = max(1, PRODUCT // k)
+    at, fit = np.zeros(len(x), np.int64), np.zeros(len(x))
     for _ in range(rounds):
-        dots = x @ c.T
-        at = dots.argmax(axis=1)
-        fit = dots[np.arange(len(x)), at]
+        for i in range(0, len(x), step):
+            dots = x[i : i + step] @ c.T
+            at[i : i + step] = dots.argmax(axis=1)
+            fit[i : i + step] = dots.max(axis=1)
         sums = np.zeros_like(c)
         np.add.at(sums, at, x)
         size = np.sqrt((sums * sums).sum(axis=1))
@@ -52,6 +57,33 @@ def _fit(rows: DataFrame, n: int, dim: int, threshold: float) -> tuple[np.ndarra
     return spherical_kmeans(x, min(k, len(x))), min(1.0, max(REACH / used**0.5, 1 / (1 + threshold)))
 
 
+def _members(ids: np.ndarray, mult: np.ndarray, vectors: pd.Series, dim: int, centroids: np.ndarray | None, width: float) -> Iterator[pd.DataFrame]:
+    """Vectors of one length as rows of the cells that they are members of, in tables of ROWS rows at most; without centroids all are in cell 0.
+
+    A vector is a member of the cells whose border is nearer than `width`, times the distance of the two centroids.
+    """
+    step = max(1, PRODUCT // (1 if centroids is None else len(centroids)))
+    for i in range(0, len(ids), step):
+        x = unit(matrix(vectors.iloc[i : i + step]))
+        if centroids is None:
+            home, member = np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
+        else:
+            dots = x @ centroids.T
+            home = dots.argmax(axis=1)
+            far = width * np.sqrt(np.maximum(0, 2 - 2 * centroids[home] @ centroids.T))
+            member = dots.max(axis=1)[:, None] - dots <= far
+            member[np.arange(len(x)), home] = True
+        bits, data = np.packbits(member, axis=1, bitorder="little"), [r.tobytes() for r in x]
+        rows, cells = np.nonzero(member)
+        for j in range(0, len(rows), ROWS):
+            at, cell = rows[j : j + ROWS], cells[j : j + ROWS]
+            own = cell == home[at]
+            yield pd.DataFrame({
+                "dim": dim, "cell": cell, "id": ids[i + at], "home": home[at], "own": own, "mult": mult[i + at],
+                "x": [data[n] for n in at], "bits": [bits[n].tobytes() if o else b"" for n, o in zip(at, own)],
+            })
+
+
 def _links(own: np.ndarray, own_ids: np.ndarray, bits: np.ndarray, all_: np.ndarray, all_ids: np.ndarray, all_home: np.ndarray, cell: int, own_mult: np.ndarray, all_mult: np.ndarray, threshold: float) -> pd.DataFrame:
     """Links between vectors at home in a cell and all its members, as (id, n, root): n links counted here, root the smallest id reached here.
 
@@ -105,8 +137,7 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vec_col: str = "
     dim, n = (dims[0].dim, dims[0]["count"]) if dims else (0, 0)
     centroids, reach = _fit(reps, n, dim, threshold) if n else (np.zeros((0, 0)), 1.0)
     k = len(centroids)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T)) if k else centroids
-    far = np.sqrt(1 - threshold**2) * reach * apart
+    width = reach * np.sqrt(1 - threshold**2)
     angle = float(threshold)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,22 +145,7 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vec_col: str = "
             size = whole["vec"].map(len)
             for d in sorted(set(size)):
                 pdf = whole[size == d]
-                x = unit(matrix(pdf["vec"]))
-                if d == dim:
-                    dots = x @ centroids.T
-                    home = dots.argmax(axis=1)
-                    member = dots[np.arange(len(x)), home][:, None] - dots <= far[home]
-                    member[np.arange(len(x)), home] = True
-                else:
-                    home, member = np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
-                at, cell = np.nonzero(member)
-                bits = np.packbits(member, axis=1, bitorder="little")
-                own = cell == home[at]
-                data = [r.tobytes() for r in x]
-                yield pd.DataFrame({
-                    "dim": d, "cell": cell, "id": pdf["id"].to_numpy()[at], "home": home[at], "own": own, "mult": pdf["mult"].to_numpy()[at],
-                    "x": [data[i] for i in at], "bits": [bits[i].tobytes() if o else b"" for i, o in zip(at, own)],
-                })
+                yield from _members(pdf["id"].to_numpy(), pdf["mult"].to_numpy(), pdf["vec"], d, centroids if d == dim else None, width)
 
     kind = "dim int, cell int, id long, home int, own boolean, mult long, x binary, bits binary"
     members = stage(reps.mapInPandas(place, kind), "members")
