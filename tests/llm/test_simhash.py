@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from vaaksetu.llm import graph, simhash
 from vaaksetu.llm.graph import connected_components
 from vaaksetu.llm.simhash import fingerprint, fingerprint_links, simhash_components, simhash_dedup
 
@@ -76,3 +77,14 @@ def test_documents(spark):
 def test_repeated_id_joins_its_texts(spark):
     docs = spark.createDataFrame([(1, "one text here"), (2, "one text here"), (2, "some other text"), (4, "some other text")], "doc_id long, text string")
     assert {(r.id, r.component) for r in simhash_components(docs).collect()} == {(1, 1), (2, 1), (4, 1)}
+
+
+def test_nothing_goes_through_the_driver(spark, monkeypatch):
+    """Tables that grow with the corpus are never broadcast, however small their files look."""
+    plans, staged = [], graph.stage
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(graph, "stage", lambda df, name: plan(df) or staged(df, name))
+    monkeypatch.setattr(simhash, "stage", lambda df, name: plan(df) or staged(df, name))
+    rows = [(i, f"text number {i // 3}") for i in range(60)] + [(5, "another"), (2, "another")]
+    plan(simhash_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert len(plans) >= 4 and "SortMergeJoin" in "".join(plans) and not [p for p in plans if "Broadcast" in p]

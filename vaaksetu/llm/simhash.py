@@ -93,7 +93,7 @@ def fingerprint_links(prints: DataFrame, distance: int = 3, block: int = 2048) -
     filed = prints.select("fp", "rep", F.explode(F.concat(_probes(0, 32, radius), _probes(1, 32, radius))).alias("p")).select("fp", "rep", "p.*")
     keys = filed.groupBy("seg", "key").agg(F.count("*").alias("n"), F.max("own").alias("any"))
     keys = keys.where("any and n > 1").select("seg", "key", F.ceil(F.col("n") / block).cast("int").alias("c"))
-    kept = filed.join(keys, ["seg", "key"])
+    kept = filed.join(keys.hint("merge"), ["seg", "key"])
     i = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
     # Block i of a key meets every block j of it: the group of (i, j), smaller number first.
     kept = kept.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
@@ -120,10 +120,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # A repeated id stands for one node even if its rows differ in text.
     again = prints.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1 and lo != hi").select("id")
     edges = fingerprint_links(reps.where("rep is not null"), distance)
-    same = prints.join(again, "id").join(reps, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    same = prints.join(again.hint("merge"), "id").join(reps.hint("merge"), "fp").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     parts = connected_components(edges.union(same))
-    named = reps.join(parts, reps.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(named, "fp").select("id", "fp", "component")
+    named = reps.join(parts.hint("merge"), reps.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return prints.join(named.hint("merge"), "fp").select("id", "fp", "component")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 3) -> DataFrame:
