@@ -1,7 +1,9 @@
 import random
 
 import corpus_pipeline as cp
+from vaaksetu.llm import jaccard
 from vaaksetu.llm.jaccard import near_components, shingles
+from vaaksetu.llm.simhash import fingerprint
 
 from .test_simhash import brute_components
 
@@ -58,3 +60,18 @@ def test_driver_documents(spark):
     got = near_components(spark.createDataFrame(src, "doc_id long, text string")).collect()
     assert {r.id: r.component for r in got} == brute(src)
     assert len(shingles("a b")) == 1 and len(shingles("a b c d e f")) == 2
+
+
+def test_stage_goes_through_simhash(spark, monkeypatch):
+    """Fingerprints of 5-word shingles give the candidates; what only fingerprints call alike is not linked."""
+    found, plain = [], jaccard.fingerprint_links
+    monkeypatch.setattr(jaccard, "fingerprint_links", lambda reps, distance: found.append((reps.count(), plain(reps, distance).count())) or plain(reps, distance))
+    w, line = fresh(800), fresh(30)
+    rows = [(0, w), (1, edited(w, 1)), (2, fresh(90)), (3, fresh(12) + line * 60 + fresh(12)), (4, fresh(12) + line * 60 + fresh(12)), (5, fresh(3) + line * 60)]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    want = brute(rows)
+    assert want[1] == 0 and want[4] == 4 and fingerprint(rows[3][1], 5) != 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()} == {i for i, _ in rows if want[i] == i}
+    ((n, edges),) = found
+    assert n == len({fingerprint(t, 5) for _, t in rows}) and edges >= 1

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exactly: prefix filter, stars, then what stars leave open."""
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash candidates by multi-index hashing, verified on the whole sets, then an exact prefix filter for what fingerprints leave open."""
 
 from __future__ import annotations
 
@@ -12,26 +12,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh, stage, unstage, words_of
+from .common import bound_batches, fresh, stage, unstage
 from .graph import connected_components
+from .simhash import fingerprint_links, fingerprint_of, shingle_hashes
 
 #: Bits of a set's sketch, in longs. Each shingle flips one, so two sketches differ in at most as many bits as the sets differ in shingles.
 SKETCH = 512
 #: Buckets that shingles are counted in, and the share of documents (1 of SAMPLE) they are counted over. Counts only order shingles: any order is exact.
 BUCKETS, SAMPLE = 1 << 17, 8
+#: Bits that fingerprints of candidates differ in at most, and rounds in which what the first stars leave open is compared with other sets of the largest component.
+DISTANCE, ROUNDS = 3, 0
 _LONGS = [f"s{i}" for i in range(SKETCH // 64)]
 
 
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     """The distinct hashes of a text's word shingles, ascending; a shorter text is one shingle, a text without words has none."""
-    words = words_of(text)
-    if not words:
-        return np.array([], np.uint64)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n, digest = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(line[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())), np.uint64, n))
+    return np.unique(np.concatenate([np.array([], np.uint64), *shingle_hashes(text, shingle)]))
 
 
 def _digest(grams: np.ndarray) -> int:
@@ -61,10 +57,14 @@ def _levels(known: DataFrame, shingle: int) -> np.ndarray:
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) of each row with an id: component is the smallest id reachable by links of texts whose sets of shingles have Jaccard similarity `similarity` or more.
 
+    Sets whose SimHash fingerprints (of the shingles, repeats included) are DISTANCE bits apart at most, found by multi-index hashing
+    (simhash.fingerprint_links), are candidates; those that the whole sets confirm are linked. Fingerprints of sets of just that similarity
+    differ in some 9 of 64 bits, so an exact way for the rest follows, between sets not connected yet.
+
     Two sets that similar share one of the first n - ceil(similarity * n) + 1 shingles of each, in any order that is the same
     for all; here rare ones come first. Equal sets are one node. Of the sets that share a key the one with the least digest
     is compared with all others, so a group of copies is a star and not all pairs; only for keys whose sets these links leave
-    in different components are all compared, the largest component's sets not with each other. A pair whose sketches differ in more bits than
+    in different components the sets outside the largest one are compared with others of its sets, in ROUNDS rounds, and then with all, the largest component's sets not with each other. A pair whose sketches differ in more bits than
     the sets may differ in shingles, or that shares fewer keys than it must, is left out, which loses none; every other one is verified on the whole sets. Rows with equal ids are one node.
     """
     bound_batches(docs.sparkSession)
@@ -74,9 +74,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ds, ns, sketches, heads = [], [], [], []
+            ds, ns, sketches, heads, fps = [], [], [], [], []
             for text in batch.column(1):
-                g = shingles(text.as_py(), shingle)
+                h = list(shingle_hashes(text.as_py(), shingle))
+                g = np.unique(np.concatenate([np.array([], np.uint64), *h]))
+                fps.append(fingerprint_of(h))
                 keep = len(g) - -(-share.numerator * len(g) // share.denominator) + 1 if len(g) else 0
                 by = np.argsort(level.value[(g & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")
                 ds.append(_digest(g))
@@ -85,10 +87,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 flips = np.bincount((g >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
                 sketches.append(np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8"))
             s = np.array(sketches, np.int64).reshape(-1, len(_LONGS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ds, pa.int64()), pa.array(ns, pa.int64()), *[pa.array(s[:, i]) for i in range(len(_LONGS))], pa.array(heads, pa.list_(pa.int64()))], ["id", "d", "n", *_LONGS, "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ds, pa.int64()), pa.array(ns, pa.int64()), *[pa.array(s[:, i]) for i in range(len(_LONGS))], pa.array(fps, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["id", "d", "n", *_LONGS, "fp", "head"])
 
     kind = known.schema["id"].dataType.simpleString()
-    prints = stage(known.mapInArrow(first, f"id {kind}, d long, n long, {', '.join(f'{s} long' for s in _LONGS)}, head array<long>"), "shingles")
+    prints = stage(known.mapInArrow(first, f"id {kind}, d long, n long, {', '.join(f'{s} long' for s in _LONGS)}, fp long, head array<long>"), "shingles")
     sets = prints.select("d", "n", *_LONGS).dropDuplicates(["d"])
     filed = prints.groupBy("d").agg(F.first("head").alias("head")).select("d", F.explode("head").alias("key"))
     keys = filed.groupBy("key").agg(F.count("*").alias("m"), F.min("d").alias("hub")).where("m > 1").select("key", "hub")
@@ -125,14 +127,40 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         unstage(pairs, texts)
         return found
 
-    spokes = members.where("d <> hub").select(F.col("hub").alias("a"), F.col("d").alias("b")).distinct()
-    x, y = sets.alias("x"), sets.alias("y")
-    links = verified(spokes.join(x, F.col("a") == F.col("x.d")).join(y, F.col("b") == F.col("y.d")).where(close()).select("a", "b"), "spokes")
+    def alike_of(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that the whole sets confirm."""
+        x, y = sets.alias("x"), sets.alias("y")
+        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return verified(pairs.join(x, F.col("a") == F.col("x.d")).join(y, F.col("b") == F.col("y.d")).where(close()).select("a", "b"), name)
+
+    def open_sets(parts: DataFrame) -> DataFrame:
+        """(key, d, c, major) of the keys whose sets are in several components, major being the one with most of them."""
+        named = members.select("key", "d").join(parts, F.col("d") == F.col("node"), "left").select("key", "d", F.coalesce("component", "d").alias("c"))
+        sizes = named.groupBy("key", "c").agg(F.count("*").alias("m"))
+        open_ = sizes.groupBy("key").agg(F.max_by("c", "m").alias("major"), F.count("*").alias("parts")).where("parts > 1").select("key", "major")
+        return stage(named.join(open_, "key"), "open")
+
+    marks = prints.select("fp", "d").distinct()
+    reps = stage(marks.groupBy("fp").agg(F.min("d").alias("rep")), "reps")
+    links = alike_of(fingerprint_links(reps, DISTANCE).union(marks.join(reps, "fp").select("d", "rep")), "candidates")
+    unstage(reps)
     parts = stage(connected_components(links), "parts")
-    named = members.select("key", "d").join(parts, F.col("d") == F.col("node"), "left").select("key", "d", F.coalesce("component", "d").alias("c"))
-    sizes = named.groupBy("key", "c").agg(F.count("*").alias("m"))
-    open_ = sizes.groupBy("key").agg(F.max_by("c", "m").alias("major"), F.count("*").alias("parts")).where("parts > 1").select("key", "major")
-    left = stage(named.join(open_, "key").join(sets, "d"), "open")
+    of = lambda side: parts.select(F.col("node").alias(f"{side}_node"), F.col("component").alias(f"{side}_part"))
+    spokes = members.where("d <> hub").select(F.col("hub").alias("a"), F.col("d").alias("b")).distinct()
+    spokes = spokes.join(of("a"), F.col("a") == F.col("a_node"), "left").join(of("b"), F.col("b") == F.col("b_node"), "left")
+    spokes = spokes.where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
+    links = links.union(alike_of(spokes, "spokes"))
+    for i in range(ROUNDS + 1):
+        unstage(parts)
+        parts = stage(connected_components(links), "parts")
+        left = open_sets(parts)
+        if i == ROUNDS:
+            break
+        hubs = left.where("c = major").groupBy("key").agg(F.min_by("d", F.xxhash64("d", F.lit(i))).alias("a"))
+        links = links.union(alike_of(left.where("c <> major").join(hubs, "key").select("a", F.col("d").alias("b")), "spokes"))
+        unstage(left)
+    named, left = left, stage(left.join(sets, "d"), "open")
+    unstage(named)
     x, y = left.where("c <> major").alias("x"), left.alias("y")
     # A pair of smaller components is met from both sides: once is enough. The major one's sets are met from the others' side only.
     once = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.major")) | (F.col("x.d") < F.col("y.d")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,23 +17,34 @@ from .graph import connected_components
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64-bit SimHash of a text's word shingles, as a signed long; a text without words has fingerprint zero."""
+def shingle_hashes(text: str | None, shingle: int = 3) -> Iterator[np.ndarray]:
+    """The hashes of a text's word shingles, repeats included, some at a time; a shorter text is one shingle, a text without words has none."""
     words = words_of(text)
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
-    lo, hi = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    lo, hi, digest = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), xxhash.xxh64_intdigest
     for i in range(0, n, _CHUNK):
-        h = np.array([digest(line[s:e], 42) for s, e in zip(lo[i : i + _CHUNK], hi[i : i + _CHUNK])], dtype="<u8")
+        yield np.array([digest(line[s:e], 42) for s, e in zip(lo[i : i + _CHUNK], hi[i : i + _CHUNK])], dtype="<u8")
+
+
+def fingerprint_of(hashes: Iterable[np.ndarray]) -> int:
+    """64-bit SimHash of hashes, as a signed long: a bit is 1 if set in over half of them; zero if there are none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64-bit SimHash of a text's word shingles, as a signed long; a text without words has fingerprint zero."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp) of every row, whole texts; fp is the fingerprint's 64 bits as a long."""
 
