@@ -21,7 +21,7 @@ SKETCH = 512
 #: Buckets that shingles are counted in, and the share of documents (1 of SAMPLE) they are counted over. Counts only order shingles: any order is exact.
 BUCKETS, SAMPLE = 1 << 17, 8
 #: Bits that fingerprints of candidates differ in at most, and rounds in which what the first stars leave open is compared with other sets of the largest component.
-DISTANCE, ROUNDS = 3, 0
+DISTANCE, ROUNDS = 3, 2
 _LONGS = [f"s{i}" for i in range(SKETCH // 64)]
 
 
