@@ -41,6 +41,20 @@ def test_rows_of_spans_and_a_small_memory(monkeypatch):
     assert back == [same.decode(x.tolist()) for x in ids]
 
 
+def test_spans_met_again_stay_known():
+    """A worker whose memory is full forgets spans that it no longer meets, and doesn't encode the common ones again."""
+    with open(pieces.MODEL, "rb") as f:
+        p = pieces.Pieces(f.read(), remember=20)
+    learned, learn = [], p._learn
+    p._learn = lambda new: (learned.extend(new), learn(new))
+    for i in range(30):
+        p([f"the a{i} b{i} c{i} of"])
+    assert learned.count("▁the") == learned.count("▁of") == 1 and len(learned) == 2 + 90
+    assert len(p.known) + len(p.former[0]) <= 20 + 2 * 5
+    ids, back = p([""])
+    assert ids[0].dtype == "int32" and ids[0].tolist() == [] and back == [""]
+
+
 def field(n, wire, data):
     if wire == 2:
         return bytes([n << 3 | 2]) + bytes([len(data)]) + data
@@ -61,3 +75,15 @@ def test_unigram_model():
     assert "".join(name("ab")) == "▁ab" and sum(map(score.get, name("ab"))) == -7.0
     assert name("é") == ["▁", "<0xC3>", "<0xA9>"]
     assert t.decode(t.encode("é ab", add_special_tokens=False).ids, skip_special_tokens=False) == "é ab"
+
+
+def test_unknown_characters_after_forgetting():
+    """Without byte pieces some spans don't decode to themselves, also when they are recalled from what was known before."""
+    vocab = [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("▁▁", -3.5, 1), ("▁a", -2.5, 1)]
+    data = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([k]))) for p, s, k in vocab)
+    data += field(2, 2, field(3, 0, b"\x01")) + field(3, 2, field(3, 0, b"\x01") + field(4, 0, b"\x00") + field(5, 0, b"\x01"))
+    whole, p = pieces.build(data), pieces.Pieces(data, remember=4)
+    for text in ["é a", "b   aé ", "a b é", "ab ba aab", "é", "▁é▁▁a", "", "bb aa é b"] * 3:
+        want = whole.encode(text, add_special_tokens=False).ids
+        ids, back = p([text])
+        assert ids[0].tolist() == want and back == [whole.decode(want, skip_special_tokens=False)]

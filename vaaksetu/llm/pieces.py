@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
@@ -12,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +23,10 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters encoded at a time: bounds a task's memory whatever the texts' lengths. A longer text is a batch of its own.
 BATCH_CHARS = 1 << 19
-#: Distinct spans that a worker remembers; the memory is emptied when it is full, which changes no result.
+#: Distinct spans that a worker remembers; those not met lately go when it is full, which changes no result.
 REMEMBER = 600_000
 #: New spans that are encoded in a row.
-JOIN = 2000
+JOIN = 200
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -123,9 +123,9 @@ class Pieces:
     """Encodes and decodes texts with the rebuilt tokenizer, each distinct span of white space and word once.
 
     Where text is cut before each run of marks, no piece reaches over a cut and no byte sequence does, so a text's pieces
-    and its decoding are those of its spans in a row. New spans of a batch go through the library's threads together, those with
-    one mark in rows of JOIN: in such a row just the first piece of a span begins with a mark, which tells where its pieces end.
-    Other models get whole texts.
+    and its decoding are those of its spans in a row. A batch is cut, and its spans are numbered and replaced by their pieces, in
+    Arrow. New spans go through the library together, those with one mark in rows of JOIN: in such a row just the first piece of
+    a span begins with a mark, which tells where its pieces end. Other models, and those that leave spaces as they are, get whole texts.
     """
 
     def __init__(self, data: bytes, remember: int = REMEMBER):
@@ -136,16 +136,18 @@ class Pieces:
         #: Piece ids of a span as bytes of int32; and the decoding of spans that don't decode to themselves.
         self.known: dict[str, bytes] = {}
         self.odd: dict[str, str] = {}
+        #: What was known before half of `remember` was new.
+        self.former: tuple[dict[str, bytes], dict[str, str]] = {}, {}
         self.spans = None
-        if self.whole.pre_tokenizer is not None:
-            from tokenizers import normalizers, pre_tokenizers
-
-            self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-            self.spans = build(data)
-            self.spans.normalizer, self.spans.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
-            self.rows = build(data)
-            self.rows.normalizer = normalizers.Sequence([])
+        if self.whole.pre_tokenizer is not None and m["escape"]:
+            from tokenizers import Tokenizer, decoders, pre_tokenizers
+
+            # No normaliser, as spans are normalised; the model itself is shared.
+            self.spans, self.rows = Tokenizer(self.whole.model), Tokenizer(self.whole.model)
+            self.rows.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
             self.dropped = m["dummy_prefix"]
+            # As the whole model's, but marks are replaced in the fused text. Encoding has a piece for the mark, so no bytes make one.
+            self.spans.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "), *([decoders.Strip(" ", 1, 0)] if self.dropped else [])])
             self.marked = np.array([piece.startswith(MARK) for piece, _, _ in m["pieces"]])
 
     def normalize(self, text: str) -> str:
@@ -179,6 +181,24 @@ class Pieces:
         lead = self.spans.token_to_id(MARK)
         return self.spans.decode_batch([[lead, *x] for x in ids] if self.dropped else ids, skip_special_tokens=False)
 
+    def _recall(self, spans: list[str]) -> list[bytes]:
+        """The spans' piece ids: those known, those known before, and new ones from the library."""
+        if len(self.known) > self.remember // 2:
+            self.former, self.known, self.odd = (self.known, self.odd), {}, {}
+        (known, odd), new = self.former, []
+        for s in [s for s in spans if s not in self.known]:
+            if s in known:
+                self.known[s] = known[s]
+                if s in odd:
+                    self.odd[s] = odd[s]
+            elif s:
+                new.append(s)
+            else:
+                self.known[s] = b""
+        if new:
+            self._learn(new)
+        return list(map(self.known.__getitem__, spans))
+
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
         """Piece ids of each text, and what they decode to."""
         ids, back = [], []
@@ -188,20 +208,21 @@ class Pieces:
                 ids += [np.array(x, np.int32) for x in got]
                 back += self.whole.decode_batch(got, skip_special_tokens=False)
                 continue
-            if len(self.known) > self.remember:
-                self.known.clear()
-                self.odd.clear()
-            known, odd = self.known, self.odd
             norm = [self.normalize(t) for t in some]
-            cut = [self.cut(t) for t in norm]
-            new = [s for s in set().union(*cut) if s not in known]
-            if new:
-                self._learn(new)
-            for text, spans in zip(norm, cut):
-                ids.append(np.frombuffer(b"".join(map(known.__getitem__, spans)), np.int32))
-                if odd and not odd.keys().isdisjoint(spans):
-                    text = "".join([odd.get(s, s) for s in spans])
-                back.append(text.replace(MARK, " ")[self.dropped :])
+            # A normalised text has no space, so one before each run of marks tells where to cut.
+            cut = pc.split_pattern(pa.array([t.replace(MARK, " " + MARK).replace(MARK + " ", MARK).removeprefix(" ") for t in norm], pa.large_string()), " ")
+            coded = cut.values.dictionary_encode()
+            spans = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            found = self._recall(spans)
+            ends = np.cumsum([0, *map(len, found)])
+            got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(found))]).take(coded.indices)
+            _, ends, data = got.buffers()
+            at = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()] // 4
+            data = np.frombuffer(data, np.int32, at[-1]) if at[-1] else np.empty(0, np.int32)
+            ids += [data[i:j] for i, j in zip(at, at[1:])]
+            if not self.odd.keys().isdisjoint(spans):
+                norm = ["".join([self.odd.get(s, s) for s in x.as_py()]) for x in cut]
+            back += [t.replace(MARK, " ")[self.dropped :] for t in norm]
         return ids, back
 
 
@@ -227,7 +248,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", model: str = MODEL, v
     """docs with piece_ids array<int> of the whole text, decoded (whether decoding them gives the text back) and,
     if `verify`, parity (whether the sentencepiece library gives the same ids for the whole text); columns with these names are replaced.
 
-    Null and empty texts have no pieces and decode to the empty text. Batches are encoded by the library's own threads and
+    Null and empty texts have no pieces and decode to the empty text. Batches are encoded in the task's own thread and
     handed on in parts of BATCH_CHARS, so memory is bounded whatever Spark's batches hold.
     `remember` bounds the distinct spans that a worker keeps, which changes its time and memory, no result. Null ids and repeated rows pass through; an empty table gives an empty one.
     The model's bytes, a fixed-size file, are read once on the driver, at a path that is a parameter.
@@ -238,8 +259,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", model: str = MODEL, v
     docs = docs.drop(*[c for c in added if c != text_col])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        os.environ.setdefault("RAYON_NUM_THREADS", "4")
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks keep the cores busy
         pieces, same = loaded(data, remember), None
         if verify:
             import sentencepiece
@@ -254,7 +274,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", model: str = MODEL, v
                     pa.array([a == b for a, b in zip(back, texts)]),
                 ]
                 if same:
-                    new.append(pa.array([array("i", a).tobytes() == b.tobytes() for a, b in zip(same.encode(texts, num_threads=1), got)]))
+                    new.append(pa.array([np.array_equal(a, b) for a, b in zip(same.encode(texts, out_type="numpy", num_threads=1), got)]))
                 part = batch.slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *added])
