@@ -167,3 +167,14 @@ def test_download(tmp_path):
 def test_white_space_survives_csv(spark, tmp_path):
     tables.write_csv(spark.createDataFrame([(" a ",), ("b\n\"c\", d",)], "w string"), f"{tmp_path}/w")
     assert {r.w for r in tables.read_csv(spark, f"{tmp_path}/w").collect()} == {" a ", 'b\n"c", d'}
+
+
+def test_audio_is_never_broadcast(spark):
+    """Files' contents don't pass through the driver, whatever the estimate of their table's size; batches of them are bounded."""
+    from vaaksetu.plans.catalog_data import recorded
+    from vaaksetu.sources import audio
+
+    data = audio.build_dataset(*recorded(spark, "/root/testdata/sf0.001"))
+    plan = data._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 64 << 20

@@ -120,7 +120,8 @@ def recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     @F.pandas_udf("binary")
     def content(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in keys:
-            yield pd.Series([b"junk" if k % 17 == 0 else tone(k % 9 * 0.25 + 0.25, k % 100 * 300) for k in s])
+            for i in range(0, len(s), 50):  # files are far larger than their keys
+                yield pd.Series([b"junk" if k % 17 == 0 else tone(k % 9 * 0.25 + 0.25, k % 100 * 300) for k in s.iloc[i : i + 50]])
 
     k = F.col("s_suppkey")
     rows = read(spark, sf_dir, "supplier")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
+from .tables import bound_batches
 
 RATE = 16_000
 
@@ -64,9 +65,12 @@ def build_dataset(manifest: DataFrame, files: DataFrame | None = None, rate: int
     @F.pandas_udf("array<float>")
     def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for content, start, end in batches:
-            yield pd.Series([read_range(c, s, e, rate) for c, s, e in zip(content, start, end)], dtype=object)
+            for i in range(0, len(content), 50):  # of paths, a batch has many
+                yield pd.Series([read_range(c, s, e, rate) for c, s, e in zip(content.iloc[i : i + 50], start.iloc[i : i + 50], end.iloc[i : i + 50])], dtype=object)
 
-    rows = manifest.withColumn("content", F.col("audio_path")) if files is None else manifest.join(files, "audio_path")
+    # Contents are large, however small the table's estimate is: never through the driver, and few of them in a batch.
+    bound_batches(manifest.sparkSession)
+    rows = manifest.withColumn("content", F.col("audio_path")) if files is None else manifest.join(files.hint("merge"), "audio_path")
     rows = rows.select(cut("content", "start", "end").alias("samples"), clean_text(F.col("text")).alias("text"), "recording_id")
     n = F.size("samples")
     kept = rows.where(F.col("samples").isNotNull() & (n >= shortest * rate) & (n <= longest * rate) & (F.col("text") != ""))
@@ -92,8 +96,10 @@ def features(dataset: DataFrame, extract: Callable[[np.ndarray], np.ndarray], to
     """input_features array<array<float>> and labels array<int>, by the caller's feature extractor and tokenizer."""
 
     @F.pandas_udf("array<array<float>>")
-    def mel(samples: pd.Series) -> pd.Series:
-        return samples.map(lambda x: [list(map(float, r)) for r in extract(np.asarray(x, np.float32))])
+    def mel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for samples in batches:
+            for i in range(0, len(samples), 16):  # features may be larger than samples
+                yield samples.iloc[i : i + 16].map(lambda x: [list(map(float, r)) for r in extract(np.asarray(x, np.float32))])
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:

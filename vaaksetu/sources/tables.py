@@ -17,6 +17,22 @@ RECORDINGS = "user_id BIGINT, recording_id BIGINT, language STRING, duration DOU
 PREDICTIONS = "index INT, reference STRING, pretrained_prediction STRING, finetuned_prediction STRING, pretrained_wer DOUBLE, finetuned_wer DOUBLE, wer_improvement DOUBLE"
 
 
+#: Bytes of an Arrow batch that goes to Python; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's bound on Arrow batches where it has none of its own: rows alone don't bound a batch's memory."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores: a small file may hold many rows, and what is done with them is what takes the time."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
     """A CSV file with a header; every column is text unless a schema is given, types are never guessed. NA and null are words like others.
 
