@@ -178,3 +178,14 @@ def test_audio_is_never_broadcast(spark):
     plan = data._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 64 << 20
+
+
+def test_only_distinct_words_are_classified(spark):
+    """A filter on the class stays above the grouping, so that no row is classified before it."""
+    from vaaksetu.operators import spelling
+
+    words = spark.createDataFrame([("लोग",), ("लोग",), ("xyz",), (" ",), (None,)], "w string")
+    rows = spelling.classify_list(words).where("confidence = 'high'")
+    below = rows._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1].split("\n", 1)[1]
+    assert "CASE" not in below
+    assert {r.word for r in rows.collect()} == {"लोग", "xyz"}

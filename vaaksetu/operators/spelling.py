@@ -27,8 +27,9 @@ def classify_list(words: DataFrame, vocabulary: Iterable[str] = CORE_VOCABULARY,
 
     Words are made distinct before they are classified and as they are written, so two that differ in outer white space both stay. Null and blank words fall out.
     """
-    raw = words.select(F.col(column or words.columns[0]).cast("string").alias("raw")).where("raw is not null").distinct()
-    rows = raw.select(strip_ws(F.col("raw")).alias("word")).where("word <> ''")
+    raw = words.select(F.col(column or words.columns[0]).cast("string").alias("raw")).where("raw is not null").groupBy("raw").agg(F.count("*").alias("n"))
+    # As the word hangs on a count, no filter on what it is classified as can be moved before the grouping, where it would classify every row.
+    rows = raw.select(strip_ws(F.when(F.col("n") > 0, F.col("raw"))).alias("word")).where("word <> ''")
     return rows.withColumn("c", classify_word(F.col("word"), vocabulary)).select("word", "c.spelling", "c.confidence", "c.reason")
 
 
