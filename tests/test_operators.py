@@ -189,3 +189,16 @@ def test_only_distinct_words_are_classified(spark):
     below = rows._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1].split("\n", 1)[1]
     assert "CASE" not in below
     assert {r.word for r in rows.collect()} == {"लोग", "xyz"}
+
+
+def test_numbers_take_their_text_once(spark):
+    """What the text is made by is worked out once a row, and the pattern of runs isn't compiled for each."""
+    from pyspark.sql import functions as F
+
+    from vaaksetu.functions.numbers import normalize_numbers
+
+    rows = spark.createDataFrame([("दो सौ घर पच्चीस",), ("घर",), ("दो",), ("घर दो",), ("",), (None,)], "t string")
+    out = rows.select(normalize_numbers(F.translate("t", "☂", "")).alias("n"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("☂") == 1 and "सौ" not in plan.split("split(")[1].split(")")[0]
+    assert [r.n for r in out.collect()] == ["200 घर 25", "घर", "2", "घर 2", "", None]

@@ -57,12 +57,18 @@ def normalize_numbers(text: Column, word_boundary: bool = False) -> Column:
     A run that starts within an idiom and a run with an approximate number stay as they are. Runs ignore word
     boundaries unless word_boundary is set, which also keeps every form listed as approximate.
     """
+    return bind(text, lambda t: _normalize(t, word_boundary))
+
+
+def _normalize(text: Column, word_boundary: bool) -> Column:
     run, none = _run(WS, word_boundary), F.array().cast("array<struct<s:int,e:int>>")
     idioms = [_starts(F.split(text, i, -1), F.regexp_extract_all(text, F.lit(i), F.lit(0))) for i in _idioms(WS)]
     # Few texts have an idiom: the others are matched against all of them at once and then left alone.
     spans = F.when(F.rlike(text, F.lit("|".join(_idioms(WS)))), F.concat(*idioms)).otherwise(none)
     # What is bound is computed once a row, not once a run.
-    row = F.struct(F.split(text, run, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(run), F.lit(0)).alias("found"), spans.alias("spans"))
+    # Gaps by extraction: split would compile so large a pattern for each row. A gap more, an empty one, may stand at the end.
+    gaps = F.regexp_extract_all(text, F.lit(rf"(?s)(.*?)(?:{run}|\z)"), F.lit(1))
+    row = F.struct(gaps.alias("gaps"), F.regexp_extract_all(text, F.lit(run), F.lit(0)).alias("found"), spans.alias("spans"))
 
     def convert(m: Column, at: Column, spans: Column) -> Column:
         value = lambda words: F.when(F.arrays_overlap(words, F.lit(APPROXIMATE)), m).otherwise(_value(words).cast("string"))

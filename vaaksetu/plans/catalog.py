@@ -14,6 +14,7 @@ from ..functions.lexicon import HOMOPHONES
 from ..operators import evaluation, lattice, manifest, taxonomy
 from ..operators import spelling as words_op
 from ..operators.alignment import align
+from ..sources.tables import spread
 from . import catalog_data, catalog_errors, catalog_lattice, catalog_words  # noqa: F401  their queries register on import
 from .registry import ORACLE_SQL, QUERIES, SPLIT, edit_tables, query, read  # noqa: F401
 
@@ -165,7 +166,7 @@ def number_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS n, 'मेरी उम्र ' || p_size || ' साल है, एक साथ' AS said FROM part")
 def number_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("मेरी उम्र "), numbers.spell_number(F.col("p_size")), F.lit(" साल है, एक साथ"))
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), numbers.normalize_numbers(line).alias("said"))
+    return spread(read(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("n"), numbers.normalize_numbers(line).alias("said"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 5000 ORDER BY md5('42:' || c_custkey::VARCHAR), c_custkey LIMIT 50")
