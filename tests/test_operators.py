@@ -202,3 +202,22 @@ def test_numbers_take_their_text_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("☂") == 1 and "सौ" not in plan.split("split(")[1].split(")")[0]
     assert [r.n for r in out.collect()] == ["200 घर 25", "घर", "2", "घर 2", "", None]
+
+
+def test_batches_of_alignments(spark):
+    """Pairs of a batch are aligned together, with the steps of one pair alone; whatever reads a table has bounded batches."""
+    import numpy as np
+
+    from vaaksetu.operators.alignment import align, align_words
+    from vaaksetu.plans.registry import read
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    read(spark, "/root/testdata/sf0.001", "conversations")
+    assert int(spark.conf.get(key)) <= 64 << 20
+    rng = np.random.default_rng(1)
+    said = lambda n: None if n == 13 else [str(x) for x in rng.integers(0, 4, size=n)]
+    rows = [(i, said(int(rng.integers(0, 14))), said(int(rng.integers(0, 14)))) for i in range(300)]
+    got = spark.createDataFrame(rows, "i int, r array<string>, h array<string>").select("i", align("r", "h").alias("ops")).collect()
+    want = {i: None if r is None or h is None else align_words(r, h) for i, r, h in rows}
+    assert {g.i: None if g.ops is None else [tuple(o) for o in g.ops] for g in got} == want
