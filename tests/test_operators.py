@@ -221,3 +221,26 @@ def test_batches_of_alignments(spark):
     got = spark.createDataFrame(rows, "i int, r array<string>, h array<string>").select("i", align("r", "h").alias("ops")).collect()
     want = {i: None if r is None or h is None else align_words(r, h) for i, r, h in rows}
     assert {g.i: None if g.ops is None else [tuple(o) for o in g.ops] for g in got} == want
+
+
+def test_a_lattice_takes_one_grouping(spark):
+    """Votes, numbers of models and references come from one grouping by segment; nothing is joined, nor broadcast when models are scored."""
+    from vaaksetu.operators import lattice
+
+    rows = [("1", f"m{i}", ["क", "ख"], h) for i, h in enumerate([["क", "ग"], ["क", "ग"], ["घ"], ["क", "ख", "च"]])]
+    outputs = spark.createDataFrame(rows, "segment string, model string, ref array<string>, hyp array<string>")
+    built = lattice.build_lattice(outputs, expand=False)
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+    assert built.collect()[0].bins == [["क"], ["ख", "ग"]]
+    assert "Broadcast" not in lattice.score_models(outputs, built)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_report_works_its_samples_out_once(spark, monkeypatch):
+    from vaaksetu.operators import evaluation
+    from vaaksetu.plans import catalog_errors, reports
+
+    plans, means = [], evaluation.fix_means
+    monkeypatch.setattr(evaluation, "fix_means", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or means(df))
+    reports.errors(catalog_errors.predictions(spark, "/root/testdata/sf0.001"))
+    assert len(plans) == 1 and "Join" not in plans[0] and "Relation" not in plans[0].replace("LocalRelation", "")

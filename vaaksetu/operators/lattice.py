@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import LATTICE_NUMBERS, LATTICE_SPELLINGS
 from ..functions.text import align_tokens, fixed, missing, strip_ws
-from ..functions.wer import lattice_wer, standard_wer
+from ..functions.wer import bind, lattice_wer, standard_wer
 from .alignment import align
 
 
@@ -33,7 +33,7 @@ def consensus_votes(aligned: DataFrame, threshold: float = 0.5) -> DataFrame:
     models = aligned.groupBy("segment").agg(F.count_distinct("model").alias("models"))
     votes = aligned.select("segment", "hyp", F.explode("ops").alias("o")).where(F.col("o.op").isin("M", "S"))
     votes = votes.groupBy("segment", F.col("o.ref_pos").alias("pos"), F.get("hyp", F.col("o.hyp_pos")).alias("word")).agg(F.count("*").alias("votes"))
-    return votes.join(models, "segment").where(F.col("votes") >= F.greatest(F.lit(1), F.ceil(F.col("models") * threshold))).select("segment", "pos", "word", "votes")
+    return votes.join(models.hint("merge"), "segment").where(F.col("votes") >= F.greatest(F.lit(1), F.ceil(F.col("models") * threshold))).select("segment", "pos", "word", "votes")
 
 
 def _more(word: Column, table: dict[str, list[str]]) -> Column:
@@ -57,17 +57,21 @@ def build_lattice(outputs: DataFrame, threshold: float = 0.5, expand: bool = Tru
 
     A segment's reference must be the same in all its rows. Everything is grouped by segment, so no group is larger than an utterance.
     """
-    aligned = outputs.select("segment", "model", "hyp", align("ref", "hyp").alias("ops"))
-    votes = consensus_votes(aligned, threshold).groupBy("segment").agg(F.collect_list(F.struct("pos", "word")).alias("votes"))
-    refs = outputs.groupBy("segment").agg(F.min("ref").alias("ref"))
-    bins = F.transform("ref", lambda w, i: F.array_sort(F.array_union(F.array(w), F.transform(F.filter(F.coalesce("votes", F.array().cast("array<struct<pos:int,word:string>>")), lambda v: v["pos"] == i), lambda v: v["word"]))))
-    out = refs.join(votes, "segment", "left").select("segment", bins.alias("bins"))
+    # A segment's rows meet once, in one grouping, and nothing is joined: the rest happens within a row, whose size is an utterance's.
+    voted = outputs.select("segment", "model", "ref", "hyp", align("ref", "hyp").alias("ops"))
+    vote = F.transform(F.filter("ops", lambda o: o.op.isin("M", "S")), lambda o: F.struct(o.ref_pos.alias("pos"), F.get("hyp", o.hyp_pos).alias("word")))
+    grouped = voted.select("segment", "model", "ref", vote.alias("v")).groupBy("segment").agg(F.min("ref").alias("ref"), F.size(F.collect_set("model")).alias("models"), F.flatten(F.collect_list("v")).alias("v"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("models") * threshold))
+    here = lambda i: F.transform(F.filter("v", lambda v: v["pos"] == i), lambda v: v["word"])
+    agreed = lambda words: F.filter(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w)) >= F.col("least"))
+    bins = F.transform("ref", lambda w, i: bind(here(i), lambda words: F.array_sort(F.array_union(F.array(w), agreed(words)))))
+    out = grouped.withColumn("least", least).select("segment", bins.alias("bins"))
     return out.withColumn("bins", F.transform("bins", lambda b: expand_bin(b, synonyms, numbers))) if expand else out
 
 
 def score_models(outputs: DataFrame, lattice: DataFrame) -> DataFrame:
     """(segment, model, standard_wer, lattice_wer) of each output."""
-    rows = outputs.join(lattice, "segment")
+    rows = outputs.join(lattice.hint("merge"), "segment")  # as large as the outputs, whatever its estimate: never broadcast
     return rows.select("segment", "model", standard_wer(F.col("ref"), F.col("hyp")).alias("standard_wer"), lattice_wer(F.col("bins"), F.col("hyp")).alias("lattice_wer"))
 
 

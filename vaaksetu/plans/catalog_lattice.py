@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import LATTICE_NUMBERS, LATTICE_SPELLINGS
 from ..operators import lattice
+from ..sources.tables import spread
 from . import reports
 from .registry import listed, query, quoted, read, scratch
 
@@ -47,7 +48,7 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A segment a row: what was said, and a column a model; cells may be null, blank or the text nan, and so may what was said."""
     k = F.col("c_custkey").cast("int")
     said = F.when(k % 29 == 0, F.lit(None).cast("string")).when(k % 31 == 0, "nan").otherwise(_said(k))
-    return read(spark, sf_dir, "customer").select(k.alias("segment"), said.alias("Human"), *[_heard(k, m).alias(name) for m, name in enumerate(MODELS)])
+    return spread(read(spark, sf_dir, "customer").select("c_custkey")).select(k.alias("segment"), said.alias("Human"), *[_heard(k, m).alias(name) for m, name in enumerate(MODELS)])
 
 
 def _slots() -> str:
