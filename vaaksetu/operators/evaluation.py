@@ -27,7 +27,7 @@ def training_wer(batch: DataFrame, labels: str = "labels", predictions: str = "p
 
 def predictions_table(references: DataFrame, pretrained: DataFrame, finetuned: DataFrame) -> DataFrame:
     """One row an utterance with both models' predictions and error rates. All three are (index, text), joined by index, never by position."""
-    df = references.select("index", F.col("text").alias("reference")).join(pretrained.select("index", F.col("text").alias("pretrained_prediction")), "index").join(finetuned.select("index", F.col("text").alias("finetuned_prediction")), "index")
+    df = references.select("index", F.col("text").alias("reference")).join(pretrained.select("index", F.col("text").alias("pretrained_prediction")).hint("merge"), "index").join(finetuned.select("index", F.col("text").alias("finetuned_prediction")).hint("merge"), "index")
     for name in ("pretrained", "finetuned"):
         df = df.withColumn(f"{name}_wer", sample_wer(F.col("reference"), F.col(f"{name}_prediction")))
     return df.withColumn("wer_improvement", F.col("pretrained_wer") - F.col("finetuned_wer"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import errors, text
 from ..functions.lexicon import CATEGORIES, HOMOPHONES, MISMATCH_WORDS, REASONS
 from ..operators import evaluation, taxonomy
+from ..sources.tables import spread
 from . import pipelines, reports
 from .registry import SPLIT, edit_tables, listed, query, quoted, read, scratch
 
@@ -41,7 +42,7 @@ def _place(side: str, i: Column) -> Column:
 
 def texts(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """(index, text): what is said, or what a model heard, for each customer."""
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("index")).select("index", _text(side).alias("text"))
+    return spread(read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("index"))).select("index", _text(side).alias("text"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
